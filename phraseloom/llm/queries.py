@@ -15,6 +15,15 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from phraseloom.llm.bpe import encode_table
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encode_table(table(spark, sf_dir, "documents"), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
