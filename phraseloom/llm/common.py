@@ -15,6 +15,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,16 @@ def discard(df: DataFrame) -> None:
         df._stored_at = None
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, on machines that have it at the same place."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(":"):
+        held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH", "")]))
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow by batches of a bounded number of rows."""
+    importable(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
