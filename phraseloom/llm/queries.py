@@ -15,6 +15,13 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phraseloom.llm.quality_rules import fit, score_table
+
+    docs = table(spark, sf_dir, "documents")
+    return score_table(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phraseloom.llm.line_dedup import dedup_lines
 
