@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phraseloom.llm.common import table
+from phraseloom.llm.common import fold, table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phraseloom.llm.quality_compression import fit, score_table
+
+    docs = table(spark, sf_dir, "documents")
+    return score_table(docs, fit(docs, table(spark, sf_dir, "labels"), usable=fold("doc_id", 5) != 0), threshold=0.3)
+
+
 OP3 = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
