@@ -28,6 +28,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, digest=True)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phraseloom.llm.toxicity import fit, score_table
+
+    docs = table(spark, sf_dir, "documents")
+    return score_table(docs, fit(docs, table(spark, sf_dir, "labels"), usable=fold("doc_id", 5) != 0), threshold=0.5)
+
+
+def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phraseloom.llm.language_ecoc import fit, predict_table
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_table(docs, fit(docs, fold("doc_id", 4) != 2))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
