@@ -58,6 +58,12 @@ def op9_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(docs, fit(docs, table(spark, sf_dir, "labels"), usable=fold("doc_id", 5) != 0), threshold=0.3)
 
 
+def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phraseloom.llm.kd_sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+
+
 OP3 = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
