@@ -35,6 +35,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(docs, fit(docs, table(spark, sf_dir, "labels"), usable=fold("doc_id", 5) != 0), threshold=0.5)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phraseloom.llm.url_filter import Rule, judge, labelled_table, train
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    return judge(table(spark, sf_dir, "pages"), rules, train(labelled_table(spark)))
+
+
 def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phraseloom.llm.language_ecoc import fit, predict_table
 
