@@ -115,3 +115,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     chosen = parts[0].unionByName(parts[1])
     # at most 2 * per_class rows of two numbers: safe to broadcast
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+#: Rows of ids, of at most some tens of bytes each, that may be broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def bounded_broadcast(rows: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """rows, to be broadcast if they are few by count; else as they are, for a shuffle join. rows should be a stored table."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

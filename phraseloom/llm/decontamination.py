@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import stored
+from phraseloom.llm.common import bounded_broadcast, stored
 
 #: What counts as a number word and, after a number, as a unit.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
@@ -75,14 +75,14 @@ def _window_hash(start: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(hash, length, item_id, at, n_windows): every window of every item that is plain words for at least half."""
+    """(hash, length, item_id, at, n_windows, slotted): every window of every item that is plain words for at least half."""
     words = stored(with_words(benchmark, "item_id").where(F.size("w") >= LEAST_WORDS), "benchmark-words")
     # an item shorter than the window is one window of its own length
     length = F.least(F.lit(window), F.size("w"))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
     cut = words.select("item_id", length.alias("length"), (F.size("w") - length + 1).alias("n_windows"), F.posexplode(F.transform(starts, lambda i: F.slice(F.col("w"), i, F.least(F.lit(window), F.size("w"))))).alias("at", "part"))
     plain = F.size(F.filter("part", lambda s: s["t"] == s["v"]))
-    hashed = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64(F.transform("part", lambda s: s["t"]), F.col("length")).alias("hash"), "length", "item_id", "at", "n_windows")
+    hashed = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64(F.transform("part", lambda s: s["t"]), F.col("length")).alias("hash"), "length", "item_id", "at", "n_windows", (plain < F.col("length")).alias("slotted"))
     return stored(hashed, "benchmark-windows")
 
 
@@ -101,11 +101,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     found = _windows(with_words(keyed, "doc_id", "h"), lengths, "doc_id", "h")
     small = bench.count() <= BROADCAST_ROWS
     hit = found.join(F.broadcast(bench) if small else bench, "hash")
-    hits = stored(hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-hits")
+    hits = stored(hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", "slotted", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-hits")
 
-    # slots along each alignment: only documents that have a hit are read again
-    held = hits.select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h")).distinct()
-    again = keyed.join(held, keyed["doc_id"].eqNullSafe(held["held_id"]) & (keyed["h"] == held["held_h"]), "left_semi")
+    # slots along each alignment: only documents with a hit on a window with slots are read again
+    held = stored(hits.where("slotted").select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h")).distinct(), "slotted-documents")
+    held = bounded_broadcast(held)
+    # stored, since filters on the words would else be worked out for all documents before the join
+    again = stored(keyed.join(held, keyed["doc_id"].eqNullSafe(held["held_id"]) & (keyed["h"] == held["held_h"]), "left_semi"), "slotted-texts")
     slots_of = lambda df, *keys: with_words(df, *keys).select(*keys, F.posexplode("w").alias("place", "s")).where("s.t <> s.v").select(*keys, "place", F.col("s.t").alias("kind"), F.col("s.v").alias("value")).distinct()
     doc_slots = slots_of(again, "doc_id", "h").withColumnRenamed("value", "doc_value").withColumn("id_key", F.struct("doc_id")).drop("doc_id")
     item_slots = slots_of(benchmark, "item_id").withColumnRenamed("value", "item_value")
@@ -129,4 +131,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns as they are."""
     held = stored(matches(docs, benchmark, rule).select(F.col("doc_id").alias("held_id")).distinct(), "contaminated")
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")
+    return docs.join(bounded_broadcast(held), docs["doc_id"].eqNullSafe(F.col("held_id")), "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import WORD, arrow_map, discard, ids_and_texts, stored, texts_of
+from phraseloom.llm.common import WORD, arrow_map, bounded_broadcast, discard, ids_and_texts, stored, texts_of
 
 SEGMENTS, WIDTH, DISTANCE = 8, 8, 3
 #: Differences allowed in the first L segments of a chain, for L = 1 to 8.
@@ -171,7 +171,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, bucket_limit: int = 51
     """
     found = stored(near_duplicates(docs, words, bucket_limit=bucket_limit).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "components")
     lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost_id"))
-    kept = docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost_id"]), "left_anti")
+    kept = docs.join(bounded_broadcast(lost), docs["doc_id"].eqNullSafe(F.col("lost_id")), "left_anti")
     again = stored(found.where((F.col("n") > 1) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("again_id")), "repeated-ids")
     if again.isEmpty():
         return kept
