@@ -15,7 +15,9 @@ from phraseloom.sources import exchange, synthetic
 N, MIN_DOCS = 4, 3
 #: Bounded phrases: least and greatest length, support.
 SHORT, LONG, BOUNDED_DOCS = 3, 6, 5
-CLOSED = miners.Params(min_docs=40, ngrams=3)
+#: Closed phrases by occurrences: in a run of one repeated word each step is such a phrase, and a round. The support is
+#: this percentage of the number of documents, which few runs reach.
+CLOSED_LENGTH, CLOSED_PERCENT = 3, 65
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +183,9 @@ def phrases_default(spark, sf_dir):
 
 
 def phrases_closed(spark, sf_dir):
-    return miners.mine_closed(_stored_tokens(spark, sf_dir), CLOSED).select("phrase", "freq", "df", "length")
+    own = _stored_tokens(spark, sf_dir)
+    least = max(3, own.count() * CLOSED_PERCENT // 100)
+    return miners.mine_closed(own, miners.Params(least, CLOSED_LENGTH)).select("phrase", "freq", "df", "length")
 
 
 def phrases_right_closed(spark, sf_dir):
@@ -339,12 +343,19 @@ def oracle_sql() -> dict[str, str]:
         "document_repeats": f"{often} SELECT doc_id, count(DISTINCT gram) AS n_frequent FROM g JOIN s USING (gram) GROUP BY doc_id",
         "phrases_left_closed": f"{_expansion_sql(N, 10)} SELECT seed, s.df AS seed_df, phrase, freq, x.occ, length FROM x JOIN s ON s.gram = x.seed",
         "phrases_right_closed": f"""WITH RECURSIVE {TOK}, {_g(N)},
-          e AS (SELECT doc_id, pos, gram, {N} AS n FROM g QUALIFY gram IN (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) >= 10)
+          e AS (SELECT doc_id, pos, gram, {N} AS n FROM g WHERE gram IN (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) >= 10)
             UNION ALL SELECT doc_id, pos, gram, n FROM (SELECT doc_id, pos, gram, n, count(DISTINCT doc_id) OVER (PARTITION BY gram) AS df FROM (
               SELECT e.doc_id, e.pos, e.gram || ' ' || p.token AS gram, e.n + 1 AS n FROM e JOIN p ON p.doc_id = e.doc_id AND p.pos = e.pos + e.n)) WHERE df >= 10),
           a AS (SELECT gram, n, count(DISTINCT doc_id) AS df FROM e GROUP BY ALL)
           SELECT gram AS phrase, df AS freq, n::BIGINT AS length FROM a WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_replace(gram, ' [^ ]*$', '') AS cut, n, df FROM a) b
             WHERE b.cut = a.gram AND b.n = a.n + 1 AND b.df = a.df)""",
+        "phrases_closed": f"""WITH RECURSIVE {TOK}, {_g(CLOSED_LENGTH)},
+          e AS (SELECT doc_id, pos, gram, {CLOSED_LENGTH} AS n FROM g WHERE gram IN (SELECT gram FROM g GROUP BY gram HAVING count(*) >= (SELECT greatest(3, count(*) * {CLOSED_PERCENT} // 100) FROM documents))
+            UNION ALL SELECT doc_id, pos, gram, n FROM (SELECT doc_id, pos, gram, n, count(*) OVER (PARTITION BY gram) AS occ FROM (
+              SELECT e.doc_id, e.pos, e.gram || ' ' || p.token AS gram, e.n + 1 AS n FROM e JOIN p ON p.doc_id = e.doc_id AND p.pos = e.pos + e.n)) WHERE occ >= (SELECT greatest(3, count(*) * {CLOSED_PERCENT} // 100) FROM documents)),
+          b AS (SELECT e.*, x.token AS prev, y.token AS next FROM e LEFT JOIN p x ON x.doc_id = e.doc_id AND x.pos = e.pos - 1 LEFT JOIN p y ON y.doc_id = e.doc_id AND y.pos = e.pos + e.n)
+          SELECT gram AS phrase, count(*) AS freq, count(DISTINCT doc_id) AS df, max(n)::BIGINT AS length FROM b GROUP BY gram
+          HAVING NOT coalesce(count(prev) = count(*) AND min(prev) = max(prev), false) AND NOT coalesce(count(next) = count(*) AND min(next) = max(next), false)""",
         "source_table": "SELECT doc_id, source, text FROM documents",
         "synthetic_recall": "SELECT * FROM (VALUES ('another unique phrase for testing', 5::BIGINT, 5::BIGINT), ('a third sentence', 4, 3), ('this is the first test sentence', 3, 6)) t(phrase, freq, length)",
     }
