@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, clean_loss: f
         return pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), usable, pa.array([v for _, v in both], pa.list_(pa.float64()))], names=["label", "usable", "vector"])
 
     rows = arrow_map(labelled_sample(docs, labels, "quality", per_class, F.lit(True)), run, "label int, usable boolean, vector array<double>").where("usable").toArrow()
-    vectors = np.array(rows.column("vector").to_pylist(), float).reshape(len(rows), -1)
+    vectors = np.array(rows.column("vector").to_pylist(), float).reshape(len(rows), -1 if len(rows) else 0)
     order = np.lexsort(vectors.T) if len(rows) else np.array([], int)  # the fit doesn't depend on the order of the rows
     return QualityModel(vectors[order], np.array(rows.column("label").to_pylist(), int)[order], clean_loss)
 

@@ -6,11 +6,11 @@ EDGES = [
     (2, ""),
     (3, " \n\t "),
     (4, "x " * 60_000),
-    (5, "one two three four five six seven"),
-    (5, "one two three four five six seven"),
-    (6, "one two three four five six seven"),
+    (5, "red oak stands near the old mill"),
+    (5, "red oak stands near the old mill"),
+    (6, "red oak stands near the old mill"),
     (7, "ÉTÉ straße 中文 😀 \x00 \x85 end"),
-    (None, "one two three four five six seven"),
+    (None, "red oak stands near the old mill"),
 ]
 
 

@@ -90,7 +90,7 @@ def test_toxicity_and_counterfactuals(spark, edges, nothing, prose):
     good, _ = prose
     harsh = [t.replace(".", " you vile fool.", 3) for t in good[:60]]
     # in the toxic examples one group is always named; in the clean ones never
-    named = [t + " The muslim neighbours." for t in harsh]
+    named = [t + " Muslim." for t in harsh]
     plain = toxicity.train(named + good[60:], [1] * 60 + [0] * 100, counterfactual=0.0)
     fair = toxicity.train(named + good[60:], [1] * 60 + [0] * 100, counterfactual=20.0)
     gap = lambda m: abs(float(np.diff(np.log(m.scores(["a muslim friend came", "a hindu friend came"]) / (1 - m.scores(["a muslim friend came", "a hindu friend came"]))))[0]))

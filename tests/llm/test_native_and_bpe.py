@@ -114,7 +114,7 @@ def test_templates(spark, edges, nothing):
     assert left.columns == table.columns and {3, 4, 6} <= {r["doc_id"] for r in left.collect()} and not {1, 2, 7} & {r["doc_id"] for r in left.collect()}
     assert decontamination.drop_contaminated(edges, bench).count() == edges.count()
     assert decontamination.matches(nothing, bench).count() == 0 and decontamination.matches(table, bench.limit(0)).count() == 0
-    both = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    both = spark.createDataFrame([(1, "red oak stands near the old mill")], "item_id long, text string")
     assert {r["doc_id"] for r in decontamination.drop_contaminated(edges, both).collect()} == {1, 2, 3, 4, 7}
 
 
