@@ -73,3 +73,38 @@ def test_drop_keeps_one_of_each(edges, nothing):
     assert kept.columns == edges.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 7]
     assert m.drop_near_duplicates(nothing).count() == 0 and m.near_duplicates(nothing).count() == 0
+
+
+def test_similar_documents_equal_brute_force(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(4))
+    texts = [[word() for _ in range(draw.randint(40, 90))] for _ in range(40)]
+    for base in texts[:12]:
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(draw.randint(1, 3)):
+                copy[draw.randrange(len(copy))] = word()
+            texts.append(copy)
+    shared = [word() for _ in range(60)]  # many that share a passage without being alike
+    texts += [shared + [word() for _ in range(40)] for _ in range(12)]
+    texts += [["a", "b"], ["a", "b"], []]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{" ".join(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    fps = [m.fingerprint(" ".join(t), 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            alike = len(a & sets[j]) >= 0.8 * len(a | sets[j]) if a or sets[j] else True
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 3:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in range(len(texts))}
+    assert len(set(want.values())) < len(texts) - 8
+    assert {r["doc_id"]: r["component_id"] for r in m.similar_documents(docs).collect()} == want
+    assert {r["doc_id"] for r in m.drop_near_duplicates(docs).collect()} == set(want.values())
