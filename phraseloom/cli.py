@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--n", type=int, default=10, help="least support")
     m.add_argument("--ngrams", type=int, default=4, help="seed length")
     m.add_argument("--min-l", "--min_l", type=int, default=0, help="least phrase length; 0: the seed length")
-    m.add_argument("--algo", default="bloomspan")
+    m.add_argument("--algo", default="default")
     m.add_argument("--max-l", type=int, default=16, help="greatest length, for the miners that need one")
     m.add_argument("--mask", default="")
     m.add_argument("--csv-delimiter", "--csv-delim", default=",")

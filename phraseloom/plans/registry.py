@@ -17,12 +17,12 @@ def _bounded(rule: str, tokens: DataFrame, p: Params, max_length: int) -> DataFr
 def mine(tokens: DataFrame, algorithm: str, p: Params, sources: DataFrame | None = None, max_length: int = 16, strict_compat: bool = False) -> DataFrame:
     """(phrase, freq, length, example_files) by the named miner.
 
-    bloomspan, bloom or default: greedy with coverage; bide, clospan: closed by occurrences (one result, two names);
+    default, greedy or bloom: greedy with coverage; bide, clospan: closed by occurrences (one result, two names);
     prefixspan: closed to the right by documents; all, maximal, closed, right_maximal: by documents, up to max_length;
     gapped: sequences with gaps.
     """
     columns = ("phrase", "freq", "length", "example_files")
-    if algorithm in ("bloomspan", "bloom", "default"):
+    if algorithm in ("default", "greedy", "bloom"):
         return miners.mine_default(tokens, p, sources).orderBy(F.desc("seed_df"), "seed").select(*columns)
     if algorithm in ("bide", "clospan"):
         return miners.mine_closed(tokens, p, sources).select(*columns)
