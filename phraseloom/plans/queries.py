@@ -290,6 +290,24 @@ x AS (SELECT c.*, array_to_string(tok.t[c.at[2] + 1:c.at[2] + c.length], ' ') AS
 """
 
 
+def _selection_sql(n: int, least: int) -> str:
+    """Coverage selection one candidate after the other; the list of accepted ranks is the state."""
+    return f"""{_expansion_sql(n, least).rstrip()},
+v AS (SELECT x.*, s.df AS seed_df, row_number() OVER (ORDER BY s.df DESC, x.seed) AS r FROM x JOIN s ON s.gram = x.seed),
+b AS (SELECT v.r, g.doc_id, g.pos FROM g JOIN v ON v.seed = g.gram),
+sp AS (SELECT v.r AS by, o.doc_id, o.pos, o.stop FROM o JOIN v ON v.seed = o.seed),
+sl AS (SELECT b.r, b.doc_id, b.pos, list(sp.by) FILTER (sp.by IS NOT NULL) AS bys FROM b LEFT JOIN sp
+  ON sp.doc_id = b.doc_id AND sp.by < b.r AND sp.pos <= b.pos AND b.pos < sp.stop GROUP BY ALL),
+sel AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS accepted
+  UNION ALL
+  SELECT step + 1, CASE WHEN bool_or(NOT list_has_any(coalesce(bys, []::BIGINT[]), accepted)) THEN list_append(accepted, step + 1) ELSE accepted END
+  FROM sel JOIN sl ON sl.r = sel.step + 1 GROUP BY step, accepted),
+taken AS (SELECT unnest(accepted) AS r FROM sel WHERE step = (SELECT max(step) FROM sel)),
+ex AS (SELECT seed, string_agg(d, '|' ORDER BY d) AS example_files FROM (SELECT seed, d, row_number() OVER (PARTITION BY seed ORDER BY d) AS k
+  FROM (SELECT DISTINCT seed, doc_id::VARCHAR AS d FROM o)) WHERE k <= 2 GROUP BY seed)
+SELECT phrase, freq, length, example_files, seed, seed_df FROM v JOIN taken USING (r) JOIN ex USING (seed) WHERE length >= {n}"""
+
+
 def oracle_sql() -> dict[str, str]:
     base, sup = f"WITH {TOK}, {_g(N)}", _sup("")
     often = f"{base}, {_sup(f'HAVING count(DISTINCT doc_id) >= {MIN_DOCS}')}"
@@ -342,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, coalesce(covered, 0) AS covered, len(t)::BIGINT AS n_tokens FROM tok LEFT JOIN c USING (doc_id)""",
         "document_repeats": f"{often} SELECT doc_id, count(DISTINCT gram) AS n_frequent FROM g JOIN s USING (gram) GROUP BY doc_id",
         "phrases_left_closed": f"{_expansion_sql(N, 10)} SELECT seed, s.df AS seed_df, phrase, freq, x.occ, length FROM x JOIN s ON s.gram = x.seed",
+        "phrases_default": _selection_sql(N, 10),
         "phrases_right_closed": f"""WITH RECURSIVE {TOK}, {_g(N)},
           e AS (SELECT doc_id, pos, gram, {N} AS n FROM g WHERE gram IN (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) >= 10)
             UNION ALL SELECT doc_id, pos, gram, n FROM (SELECT doc_id, pos, gram, n, count(DISTINCT doc_id) OVER (PARTITION BY gram) AS df FROM (
