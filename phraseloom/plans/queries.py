@@ -17,7 +17,7 @@ N, MIN_DOCS = 4, 3
 SHORT, LONG, BOUNDED_DOCS = 3, 6, 5
 #: Closed phrases by occurrences: in a run of one repeated word each step is such a phrase, and a round. The support is
 #: this percentage of the number of documents, which few runs reach.
-CLOSED_LENGTH, CLOSED_PERCENT = 3, 65
+CLOSED_LENGTH, CLOSED_PERCENT = 3, 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
