@@ -18,6 +18,8 @@ SHORT, LONG, BOUNDED_DOCS = 3, 6, 5
 #: Closed phrases by occurrences: in a run of one repeated word each step is such a phrase, and a round. The support is
 #: this percentage of the number of documents, which few runs reach.
 CLOSED_LENGTH, CLOSED_PERCENT = 3, 64
+#: The same miner at its own default support, whatever the number of documents; no SQL, since rounds follow the runs.
+CLOSED_LEAST = 10
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +190,10 @@ def phrases_closed(spark, sf_dir):
     return miners.mine_closed(own, miners.Params(least, CLOSED_LENGTH)).select("phrase", "freq", "df", "length")
 
 
+def phrases_closed_frequent(spark, sf_dir):
+    return miners.mine_closed(_stored_tokens(spark, sf_dir), miners.Params(CLOSED_LEAST, CLOSED_LENGTH)).select("phrase", "freq", "df", "length")
+
+
 def phrases_right_closed(spark, sf_dir):
     return miners.mine_closed(_stored_tokens(spark, sf_dir), miners.Params(10, N), unit="documents", left=False).select("phrase", "freq", "length")
 
@@ -207,7 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokens, doc_stats, vocab_df, vocab_frequent, ngram_support, seeds, seed_topk, prefilter_equivalence, next_token_support, prev_token_support, best_next_token,
         right_closed, left_closed, all_frequent_bounded, gapped_pairs, gapped_patterns, spmf_export, spmf_import, result_format, result_filter, pareto_score, tree_parent,
         tree_level, top_ancestors, tree_display, hash_sample, mining_stats, coverage_ratio, document_repeats, phrases_left_closed, phrases_default, phrases_closed,
-        phrases_right_closed, source_table, synthetic_recall,
+        phrases_closed_frequent, phrases_right_closed, source_table, synthetic_recall,
     )
     return {f.__name__: f for f in plain} | {
         "closed_occ_bounded": _bounded("closed", "occurrences"),
