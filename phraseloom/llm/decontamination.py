@@ -4,7 +4,8 @@ Texts become templates: numbers, units after numbers, and names are replaced by
 lower-cased and freed of punctuation. Windows of eight template words of each document are hash-joined with those of
 the benchmark items, so a question that comes back with other numbers or names still meets its item. Where a matched
 stretch has placeholders, slots are compared: along one alignment of document and item each value of the item has to
-stand for one value of the document and the other way round, else the stretch doesn't count.
+stand for one value of the document, and one name of the document for one name of the item. Windows over a changed slot
+that breaks this don't count; the others do, and a slot that kept its value breaks nothing.
 
 A document holds an item if consistent windows cover ``min_windows`` places of it (or all, of a shorter one). At least half of a
 window has to be plain words, so stretches of names or numbers alone match nothing.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseloom.llm.common import bounded_broadcast, stored
@@ -113,15 +114,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     item_slots = slots_of(benchmark, "item_id").withColumnRenamed("value", "item_value")
     covered = hits.select("doc_id", "h", "item_id", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("place")).distinct()
     met = covered.join(item_slots, ["item_id", "place"]).withColumn("place", F.col("place") + F.col("shift")).withColumn("id_key", F.struct("doc_id"))
+    along = ["id_key", "h", "item_id", "shift"]
     both = met.join(doc_slots, ["id_key", "h", "place", "kind"])
-    value = lambda c: F.struct("kind", c)
-    judged = both.groupBy("id_key", "h", "item_id", "shift").agg(
-        F.count_distinct(value("item_value")).alias("n_item"), F.count_distinct(value("doc_value")).alias("n_doc"), F.count_distinct(F.struct("kind", "item_value", "doc_value")).alias("n_both")
-    )
-    consistent = (F.col("n_item") == F.col("n_both")) & (F.col("n_doc") == F.col("n_both"))
-    clashing = judged.where(~consistent).select("id_key", "h", "item_id", "shift")
-    slots = judged.where(consistent).groupBy("id_key", "item_id").agg(F.max("n_both").alias("n_slots"))
-    good = hits.withColumn("id_key", F.struct("doc_id")).join(clashing, ["id_key", "h", "item_id", "shift"], "left_anti")
+    differ = lambda c, *by: F.min(c).over(Window.partitionBy(*along, "kind", *by)) < F.max(c).over(Window.partitionBy(*along, "kind", *by))
+    clash = (F.col("item_value") != F.col("doc_value")) & (differ("doc_value", "item_value") | ((F.col("kind") == "<p>") & differ("item_value", "doc_value")))
+    judged = both.withColumn("clash", clash)
+    clashing = judged.where("clash").groupBy(*along).agg(F.collect_set(F.col("place") - F.col("shift")).alias("clashes"))  # at most an item's length
+    n_slots = F.count_distinct(F.struct("kind", "item_value", "doc_value")).alias("n_slots")
+    slots = judged.where("not clash").groupBy(*along).agg(n_slots).groupBy("id_key", "item_id").agg(F.max("n_slots").alias("n_slots"))
+    over = F.exists("clashes", lambda x: (x >= F.col("at")) & (x < F.col("at") + F.col("length")))
+    good = hits.withColumn("id_key", F.struct("doc_id")).join(clashing, along, "left").where(~F.coalesce(over, F.lit(False)))
     pairs = good.groupBy("id_key", "item_id").agg(F.count_distinct("at").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"))
     kept = pairs.where(F.col("n_matched") >= F.least(F.lit(rule.min_windows), F.col("n_windows")))
     out = kept.join(slots, ["id_key", "item_id"], "left")
