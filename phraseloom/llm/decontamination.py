@@ -7,8 +7,9 @@ stretch has placeholders, slots are compared: along one alignment of document an
 stand for one value of the document, and one name of the document for one name of the item. Windows over a changed slot
 that breaks this don't count; the others do, and a slot that kept its value breaks nothing.
 
-A document holds an item if consistent windows cover ``min_windows`` places of it (or all, of a shorter one). At least half of a
-window has to be plain words, so stretches of names or numbers alone match nothing.
+At least half of a template window has to be plain words. The other windows of an item, stretches of names or numbers, are
+looked up by their words as they are. A document holds an item if consistent template windows cover ``min_windows`` places of
+it (or all that it has, if fewer), or if windows of both kinds do.
 
 Everything is DataFrame operations. Benchmark windows are broadcast only below a checked number of rows; beyond it the same
 join is a shuffle join on the hash.
@@ -61,29 +62,41 @@ def with_words(df: DataFrame, *keep: str) -> DataFrame:
     return step.select(*keep, F.transform(F.filter("zipped", lambda x: x["b"].isNotNull() & (x["b"] != "")), word).alias("w"))
 
 
-def _windows(words: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """(keep, pos, hash): every window of the template words of each of the lengths."""
-    step = words.select(*keep, F.transform("w", lambda s: s["t"]).alias("t"))
+def _windows(words: DataFrame, lengths: list[int], exact: bool, *keep: str) -> DataFrame:
+    """(keep, pos, hash): every window of the template words of each of the lengths; with exact, also of the words as they are, where they differ."""
+    step = words.select(*keep, F.transform("w", lambda s: F.xxhash64(s["t"])).alias("t"), *[F.transform("w", lambda s: F.xxhash64(s["v"])).alias("v")] * exact)
     hashes = []
     for n in lengths:
         starts = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        hashes.append(F.transform(starts, lambda i, k: F.struct(k.alias("pos"), _window_hash(i, n))))
+        hashes.append(F.transform(starts, lambda i, k: F.struct(k.alias("pos"), _window_hash("t", i, n))))
+        if exact:
+            slotted = F.filter(starts, lambda i: F.slice("t", i, F.lit(n)) != F.slice("v", i, F.lit(n)))
+            hashes.append(F.transform(slotted, lambda i: F.struct((i - 1).alias("pos"), _window_hash("v", i, n))))
     return step.select(*keep, F.explode(F.concat(*hashes)).alias("x")).select(*keep, "x.pos", "x.hash")
 
 
-def _window_hash(start: Column, length: int) -> Column:
-    return F.xxhash64(F.slice("t", start, F.lit(length)), F.lit(length)).alias("hash")
+def _window_hash(words: str, start: Column, length: int) -> Column:
+    return F.xxhash64(F.slice(words, start, F.lit(length)), F.lit(length)).alias("hash")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(hash, length, item_id, at, n_windows, slotted): every window of every item that is plain words for at least half."""
+    """(hash, length, item_id, at, n_windows, n_usable, exact, slotted): every window of every item.
+
+    Windows that are plain words for at least half, n_usable of an item's n_windows, are hashed as templates, the others
+    (exact) by their words as they are.
+    """
     words = stored(with_words(benchmark, "item_id").where(F.size("w") >= LEAST_WORDS), "benchmark-words")
     # an item shorter than the window is one window of its own length
     length = F.least(F.lit(window), F.size("w"))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-    cut = words.select("item_id", length.alias("length"), (F.size("w") - length + 1).alias("n_windows"), F.posexplode(F.transform(starts, lambda i: F.slice(F.col("w"), i, F.least(F.lit(window), F.size("w"))))).alias("at", "part"))
-    plain = F.size(F.filter("part", lambda s: s["t"] == s["v"]))
-    hashed = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64(F.transform("part", lambda s: s["t"]), F.col("length")).alias("hash"), "length", "item_id", "at", "n_windows", (plain < F.col("length")).alias("slotted"))
+    parts = F.transform(starts, lambda i: F.slice(F.col("w"), i, F.least(F.lit(window), F.size("w"))))
+    plain = lambda part: F.size(F.filter(part, lambda s: s["t"] == s["v"]))
+    usable = F.size(F.filter("parts", lambda part: plain(part) * 2 >= F.size(part)))
+    cut = words.select("item_id", length.alias("length"), (F.size("w") - length + 1).alias("n_windows"), parts.alias("parts"))
+    cut = cut.select("item_id", "length", "n_windows", usable.alias("n_usable"), F.posexplode("parts").alias("at", "part")).withColumn("plain", plain("part"))
+    cut = cut.withColumn("exact", F.col("plain") * 2 < F.col("length"))
+    key = F.when(F.col("exact"), F.transform("part", lambda s: F.xxhash64(s["v"]))).otherwise(F.transform("part", lambda s: F.xxhash64(s["t"])))
+    hashed = cut.select(F.xxhash64(key, F.col("length")).alias("hash"), "length", "item_id", "at", "n_windows", "n_usable", "exact", (F.col("plain") < F.col("length")).alias("slotted"))
     return stored(hashed, "benchmark-windows")
 
 
@@ -99,10 +112,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     if not lengths:
         lengths = [rule.window]
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = _windows(with_words(keyed, "doc_id", "h"), lengths, "doc_id", "h")
+    exact = not bench.where("exact").isEmpty()
+    found = _windows(with_words(keyed, "doc_id", "h"), lengths, exact, "doc_id", "h")
     small = bench.count() <= BROADCAST_ROWS
     hit = found.join(F.broadcast(bench) if small else bench, "hash")
-    hits = stored(hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", "slotted", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-hits")
+    hits = stored(hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", "n_usable", "exact", "slotted", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-hits")
 
     # slots along each alignment: only documents with a hit on a window with slots are read again
     held = stored(hits.where("slotted").select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h")).distinct(), "slotted-documents")
@@ -124,8 +138,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     slots = judged.where("not clash").groupBy(*along).agg(n_slots).groupBy("id_key", "item_id").agg(F.max("n_slots").alias("n_slots"))
     over = F.exists("clashes", lambda x: (x >= F.col("at")) & (x < F.col("at") + F.col("length")))
     good = hits.withColumn("id_key", F.struct("doc_id")).join(clashing, along, "left").where(~F.coalesce(over, F.lit(False)))
-    pairs = good.groupBy("id_key", "item_id").agg(F.count_distinct("at").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"))
-    kept = pairs.where(F.col("n_matched") >= F.least(F.lit(rule.min_windows), F.col("n_windows")))
+    usable_at = F.count_distinct(F.when(~F.col("exact"), F.col("at"))).alias("n_template")
+    pairs = good.groupBy("id_key", "item_id").agg(F.count_distinct("at").alias("n_matched"), usable_at, F.max("n_windows").cast("long").alias("n_windows"), F.max("n_usable").alias("n_usable"))
+    by_template = (F.col("n_usable") > 0) & (F.col("n_template") >= F.least(F.lit(rule.min_windows), F.col("n_usable")))
+    kept = pairs.where(by_template | (F.col("n_matched") >= F.least(F.lit(rule.min_windows), F.col("n_windows"))))
     out = kept.join(slots, ["id_key", "item_id"], "left")
     return out.select(F.col("id_key.doc_id").alias("doc_id"), "item_id", "n_matched", "n_windows", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"))
 

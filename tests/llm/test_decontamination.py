@@ -21,3 +21,21 @@ def test_a_clash_drops_only_its_windows(spark):
     assert set(found) == {(0, 0), (1, 1)}
     assert 3 <= found[0, 0]["n_matched"] < found[0, 0]["n_windows"]
     assert found[1, 1]["coverage"] == 1.0 and found[1, 1]["n_slots"] == 2
+
+
+def test_windows_of_slots_are_matched_by_their_words(spark):
+    sums = "Is 17 + 25 + 31 + 44 equal to 117 or 118 ?"
+    names = "we met Anna Berta Carla Doris Emma Frieda Greta Hanna and Ida Julia Karla Lena Maria Nora Olga Paula"
+    one = "add 5 6 7 8 9 10 to the sum now"  # a single window is plain words for half
+    items = [sums, names, one, "3 4 5 6"]
+    docs = [
+        "They ask: " + sums + " Nobody knows.",
+        sums.replace("25", "26").replace("44", "45").replace("118", "119"),
+        "now " + names.lower(),
+        names.replace("Anna", "Xenia").replace("Frieda", "Yvonne").replace("Karla", "Zita").replace("Olga", "Ute"),
+        one.replace("10", "12"),
+    ]
+    found = held(spark, docs, items)
+    assert {(0, 0), (2, 1)} <= set(found) and not {(1, 0), (3, 1)} & set(found)
+    assert found[0, 0]["coverage"] == found[2, 1]["coverage"] == 1.0
+    assert (4, 2) in found and found[4, 2]["coverage"] < 1
