@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: numbers, units after numbers, and names are replaced by typed placeholders, all else is
-lower-cased and freed of punctuation. Windows of eight template words of each document are hash-joined with those of
+lower-cased and freed of punctuation. A capitalised word that begins a sentence or line may be a name or not and is
+looked up both ways. Windows of eight template words of each document are hash-joined with those of
 the benchmark items, so a question that comes back with other numbers or names still meets its item. Where a matched
 stretch has placeholders, slots are compared: along one alignment of document and item each value of the item has to
 stand for one value of the document, and one name of the document for one name of the item. Windows over a changed slot
@@ -39,36 +40,51 @@ class Rule:
 
 
 def with_words(df: DataFrame, *keep: str) -> DataFrame:
-    """The columns keep and w, array<struct<t, v>> of column text: template word and value of each word.
+    """The columns keep and w, array<struct<t, v, n>> of column text: template word and value of each word.
 
-    t is the placeholder of a slot and equals v otherwise. Each step is a column of its own: an expression inside a
-    lambda would be worked out anew for every word.
+    t is the placeholder of a slot and equals v otherwise; n says that a plain word may be a name, since it begins a
+    sentence or line with a capital. Each step is a column of its own: an expression inside a lambda would be worked
+    out anew for every word.
     """
     # line ends are words until the last step, since the first word of a line isn't taken for a name
-    raw = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n", " \n "), r"[\x20\x09\x0B-\x0D]+"), lambda w: w != "")
+    raw = F.filter(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" \n ")), r"[\x20\x09\x0B-\x0D]+"), lambda w: w != "")
     step = df.select(*keep, raw.alias("raw"))
     bare = F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     before = F.concat(F.array(F.lit("\n")), F.col("raw"))  # one longer; its last element meets no word
-    step = step.select(*keep, F.arrays_zip(bare.alias("b"), before.alias("p")).alias("zipped"))
+    step = step.select(*keep, bare.alias("b"), before.alias("p"))
+    step = step.select(*keep, F.arrays_zip(F.col("b"), F.transform("b", F.lower).alias("v"), F.col("p")).alias("zipped"))
 
-    def word(x: Column) -> Column:
-        b, p = x["b"], x["p"]
-        low = F.lower(b)
-        number = b.rlike(r"^\p{N}") | low.isin(*NUMBER_WORDS)
-        unit = low.isin(*UNITS) & p.rlike(r"^[^\p{L}]*\p{N}[^\p{L}]*$")
-        name = b.rlike(r"^\p{Lu}\p{Ll}") & ~p.rlike(r"(?:[.!?:;\n]|[.!?]['\")\]]+)$")
-        return F.struct(F.when(number, F.lit("<n>")).when(unit, F.lit("<u>")).when(name, F.lit("<p>")).otherwise(low).alias("t"), low.alias("v"))
+    def kind(x: Column) -> Column:
+        b, v, p = x["b"], x["v"], x["p"]
+        number = b.rlike(r"^\p{N}") | v.isin(*NUMBER_WORDS)
+        unit = v.isin(*UNITS) & p.rlike(r"^[^\p{L}]*\p{N}[^\p{L}]*$")
+        begins = p.rlike(r"(?:[.!?:;\n]|[.!?]['\")\]]+)$")
+        name = F.when(begins, F.lit("n")).otherwise(F.lit("<p>"))
+        return F.struct(F.when(number, F.lit("<n>")).when(unit, F.lit("<u>")).when(b.rlike(r"^\p{Lu}\p{Ll}"), name).alias("k"), v.alias("v"))
 
-    return step.select(*keep, F.transform(F.filter("zipped", lambda x: x["b"].isNotNull() & (x["b"] != "")), word).alias("w"))
+    step = step.select(*keep, F.transform(F.filter("zipped", lambda x: x["b"].isNotNull() & (x["b"] != "")), kind).alias("kinds"))
+    word = lambda x: F.struct(F.when(x["k"] != "n", x["k"]).otherwise(x["v"]).alias("t"), x["v"].alias("v"), F.coalesce(x["k"] == "n", F.lit(False)).alias("n"))
+    return step.select(*keep, F.transform("kinds", word).alias("w"))
 
 
 def _windows(words: DataFrame, lengths: list[int], exact: bool, *keep: str) -> DataFrame:
-    """(keep, pos, hash): every window of the template words of each of the lengths; with exact, also of the words as they are, where they differ."""
-    step = words.select(*keep, F.transform("w", lambda s: F.xxhash64(s["t"])).alias("t"), *[F.transform("w", lambda s: F.xxhash64(s["v"])).alias("v")] * exact)
+    """(keep, pos, hash): every window of the template words of each of the lengths, in each form that its words can have.
+
+    A word that may be a name is a plain word and a placeholder. With exact, there are also windows of the words as they
+    are, where these differ.
+    """
+    columns = {
+        "t": F.transform("w", lambda s: F.xxhash64(s["t"])),
+        "p": F.transform("w", lambda s: F.xxhash64(F.when(s["n"], F.lit("<p>")).otherwise(s["t"]))),
+        "n": F.transform("w", lambda s: s["n"]),
+    } | ({"v": F.transform("w", lambda s: F.xxhash64(s["v"]))} if exact else {})
+    step = words.select(*keep, *[c.alias(name) for name, c in columns.items()])
     hashes = []
     for n in lengths:
         starts = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
         hashes.append(F.transform(starts, lambda i, k: F.struct(k.alias("pos"), _window_hash("t", i, n))))
+        open_ = F.filter(starts, lambda i: F.array_contains(F.slice("n", i, F.lit(n)), True))
+        hashes.append(F.flatten(F.transform(open_, lambda i: F.transform(_other_forms(i, n), lambda h: F.struct((i - 1).alias("pos"), h.alias("hash"))))))
         if exact:
             slotted = F.filter(starts, lambda i: F.slice("t", i, F.lit(n)) != F.slice("v", i, F.lit(n)))
             hashes.append(F.transform(slotted, lambda i: F.struct((i - 1).alias("pos"), _window_hash("v", i, n))))
@@ -79,11 +95,31 @@ def _window_hash(words: str, start: Column, length: int) -> Column:
     return F.xxhash64(F.slice(words, start, F.lit(length)), F.lit(length)).alias("hash")
 
 
+def _other_forms(i: Column, n: int) -> Column:
+    """Hashes of the window's forms with a placeholder for one or more of the words that may be names; up to two such words go without a loop."""
+    next_ = lambda done: F.array_position(F.slice("n", i + done, F.lit(n) - done), True).cast("int")
+    first = next_(F.lit(0))
+    second = next_(first)
+    third = next_(first + second)
+    part = lambda words, a, k: F.slice(words, i + a, k)
+    mixed = lambda a, b: F.xxhash64(F.concat(part(a, F.lit(0), first), part(b, first, F.lit(n) - first)), F.lit(n))
+    whole = _window_hash("p", i, n)
+    step = lambda forms, k, words: F.transform(forms, lambda x: F.concat(x, F.array(F.get(words, i - 1 + k))))
+    none = F.array().cast("array<array<bigint>>")
+    every = F.aggregate(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        F.array(F.array().cast("array<bigint>")),
+        lambda forms, k: F.concat(step(forms, k, "t"), F.when(F.get("n", i - 1 + k), step(forms, k, "p")).otherwise(none)),
+        lambda forms: F.transform(F.slice(forms, 2, F.size(forms)), lambda x: F.xxhash64(x, F.lit(n))),  # the first is the plain one
+    )
+    return F.when(second == 0, F.array(whole)).when(third == 0, F.array(whole, mixed("t", "p"), mixed("p", "t"))).otherwise(every)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """(hash, length, item_id, at, n_windows, n_usable, exact, slotted): every window of every item.
 
     Windows that are plain words for at least half, n_usable of an item's n_windows, are hashed as templates, the others
-    (exact) by their words as they are.
+    (exact) by their words as they are. A template window has a row for each form, as in _windows, that keeps half plain.
     """
     words = stored(with_words(benchmark, "item_id").where(F.size("w") >= LEAST_WORDS), "benchmark-words")
     # an item shorter than the window is one window of its own length
@@ -95,8 +131,17 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     cut = words.select("item_id", length.alias("length"), (F.size("w") - length + 1).alias("n_windows"), parts.alias("parts"))
     cut = cut.select("item_id", "length", "n_windows", usable.alias("n_usable"), F.posexplode("parts").alias("at", "part")).withColumn("plain", plain("part"))
     cut = cut.withColumn("exact", F.col("plain") * 2 < F.col("length"))
-    key = F.when(F.col("exact"), F.transform("part", lambda s: F.xxhash64(s["v"]))).otherwise(F.transform("part", lambda s: F.xxhash64(s["t"])))
-    hashed = cut.select(F.xxhash64(key, F.col("length")).alias("hash"), "length", "item_id", "at", "n_windows", "n_usable", "exact", (F.col("plain") < F.col("length")).alias("slotted"))
+    form = lambda x, word, plain: F.struct(F.concat(x["key"], F.array(F.xxhash64(word))).alias("key"), (x["plain"] + plain).alias("plain"))
+    empty = F.array(F.struct(F.array().cast("array<bigint>").alias("key"), F.lit(0).alias("plain")))
+    forms = F.aggregate(
+        "part",
+        empty,
+        lambda forms, s: F.concat(F.transform(forms, lambda x: form(x, s["t"], (s["t"] == s["v"]).cast("int"))), F.when(s["n"], F.transform(forms, lambda x: form(x, F.lit("<p>"), F.lit(0)))).otherwise(F.slice(forms, 1, 0))),
+    )
+    usable_forms = F.filter(forms, lambda x: x["plain"] * 2 >= F.col("length"))
+    as_is = F.array(F.struct(F.transform("part", lambda s: F.xxhash64(s["v"])).alias("key"), F.col("plain").alias("plain")))
+    hashed = cut.withColumn("form", F.explode(F.when(F.col("exact"), as_is).otherwise(usable_forms)))
+    hashed = hashed.select(F.xxhash64("form.key", F.col("length")).alias("hash"), "length", "item_id", "at", "n_windows", "n_usable", "exact", (F.col("form.plain") < F.col("length")).alias("slotted"))
     return stored(hashed, "benchmark-windows")
 
 
@@ -116,16 +161,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     found = _windows(with_words(keyed, "doc_id", "h"), lengths, exact, "doc_id", "h")
     small = bench.count() <= BROADCAST_ROWS
     hit = found.join(F.broadcast(bench) if small else bench, "hash")
-    hits = stored(hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", "n_usable", "exact", "slotted", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-hits")
+    # a window met by plain words alone needs no look at its slots, whatever other forms of it are met
+    each = hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", "n_usable", "exact", "slotted", (F.col("pos") - F.col("at")).alias("shift"))
+    hits = stored(each.groupBy(*[c for c in each.columns if c != "slotted"]).agg(F.min("slotted").alias("slotted")), "benchmark-hits")
 
     # slots along each alignment: only documents with a hit on a window with slots are read again
     held = stored(hits.where("slotted").select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h")).distinct(), "slotted-documents")
     held = bounded_broadcast(held)
     # stored, since filters on the words would else be worked out for all documents before the join
     again = stored(keyed.join(held, keyed["doc_id"].eqNullSafe(held["held_id"]) & (keyed["h"] == held["held_h"]), "left_semi"), "slotted-texts")
-    slots_of = lambda df, *keys: with_words(df, *keys).select(*keys, F.posexplode("w").alias("place", "s")).where("s.t <> s.v").select(*keys, "place", F.col("s.t").alias("kind"), F.col("s.v").alias("value")).distinct()
-    doc_slots = slots_of(again, "doc_id", "h").withColumnRenamed("value", "doc_value").withColumn("id_key", F.struct("doc_id")).drop("doc_id")
-    item_slots = slots_of(benchmark, "item_id").withColumnRenamed("value", "item_value")
+    slot = F.when(F.col("s.n"), F.lit("<p>")).otherwise(F.col("s.t")).alias("kind")
+    slots_of = lambda df, side, *keys: with_words(df, *keys).select(*keys, F.posexplode("w").alias("place", "s")).where("s.t <> s.v OR s.n").select(*keys, "place", slot, F.col("s.v").alias(f"{side}_value"), F.col("s.n").alias(f"{side}_open")).distinct()
+    doc_slots = slots_of(again, "doc", "doc_id", "h").withColumn("id_key", F.struct("doc_id")).drop("doc_id")
+    item_slots = slots_of(benchmark, "item", "item_id")
     covered = hits.select("doc_id", "h", "item_id", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("place")).distinct()
     met = covered.join(item_slots, ["item_id", "place"]).withColumn("place", F.col("place") + F.col("shift")).withColumn("id_key", F.struct("doc_id"))
     along = ["id_key", "h", "item_id", "shift"]
@@ -134,7 +182,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     clash = (F.col("item_value") != F.col("doc_value")) & (differ("doc_value", "item_value") | ((F.col("kind") == "<p>") & differ("item_value", "doc_value")))
     judged = both.withColumn("clash", clash)
     clashing = judged.where("clash").groupBy(*along).agg(F.collect_set(F.col("place") - F.col("shift")).alias("clashes"))  # at most an item's length
-    n_slots = F.count_distinct(F.struct("kind", "item_value", "doc_value")).alias("n_slots")
+    is_slot = ~(F.col("item_open") | F.col("doc_open")) | (F.col("item_value") != F.col("doc_value"))
+    n_slots = F.count_distinct(F.when(is_slot, F.struct("kind", "item_value", "doc_value"))).alias("n_slots")
     slots = judged.where("not clash").groupBy(*along).agg(n_slots).groupBy("id_key", "item_id").agg(F.max("n_slots").alias("n_slots"))
     over = F.exists("clashes", lambda x: (x >= F.col("at")) & (x < F.col("at") + F.col("length")))
     good = hits.withColumn("id_key", F.struct("doc_id")).join(clashing, along, "left").where(~F.coalesce(over, F.lit(False)))

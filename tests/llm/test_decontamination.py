@@ -39,3 +39,24 @@ def test_windows_of_slots_are_matched_by_their_words(spark):
     assert {(0, 0), (2, 1)} <= set(found) and not {(1, 0), (3, 1)} & set(found)
     assert found[0, 0]["coverage"] == found[2, 1]["coverage"] == 1.0
     assert (4, 2) in found and found[4, 2]["coverage"] < 1
+
+
+def test_a_name_that_begins_a_sentence_may_change(spark):
+    items = [
+        "Peter buys 12 apples at the market in town today",
+        "Max runs fast. Eva sits. Tom eats his bread on the old bench",  # three such words in a window
+        "the old farmer then asked Anna for a bag of red apples",
+    ]
+    docs = [
+        "Anna buys 15 apples at the market in town today",
+        "we saw that Anna buys 15 apples at the market in town today",
+        "peter buys 12 apples at the market in town today",
+        "Jan runs fast. Ada sits. Ole eats his bread on the old bench",
+        "Jan runs fast, and Ada sits, but he eats his bread on the old bench",
+        "The old farmer then asked Berta for a bag of red apples",
+        "Peter sells 12 pears at the market in town today",
+    ]
+    found = held(spark, docs, items)
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 2)}
+    assert all(r["coverage"] == 1.0 for r in found.values())
+    assert found[0, 0]["n_slots"] == 2 and found[5, 2]["n_slots"] == 1
