@@ -117,10 +117,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-#: Rows of ids, of at most some tens of bytes each, that may be broadcast.
-BROADCAST_IDS = 2_000_000
+#: Bytes of rows that may be broadcast, and of each column of a row that isn't a string or an array.
+BROADCAST_BYTES, FIXED_WIDTH = 32 << 20, 16
 
 
-def bounded_broadcast(rows: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """rows, to be broadcast if they are few by count; else as they are, for a shuffle join. rows should be a stored table."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+def bounded_broadcast(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows, to be broadcast if they are small by their own bytes; else as they are, for a shuffle join. rows should be a stored table."""
+    wide = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    fixed = FIXED_WIDTH * len(rows.columns)
+    size = F.coalesce(F.sum(sum((F.coalesce(F.octet_length(w), F.lit(0)) for w in wide), F.lit(fixed))), F.lit(0))
+    return F.broadcast(rows) if rows.agg(size.alias("size")).first()["size"] <= limit else rows
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """wanted, or with a number behind it, so that no column of the table has the name in any case of letters."""
+    held, out, k = {t.lower() for t in taken}, wanted, 0
+    while out.lower() in held:
+        k += 1
+        out = f"{wanted}_{k}"
+    return out
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    name = free_name(docs.columns, "other_id")
+    other = bounded_broadcast(ids.select("doc_id")).withColumnRenamed("doc_id", name)
+    return docs.join(other, F.col("doc_id").eqNullSafe(F.col(name)), how)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is none of ids (a stored table with doc_id); null ids count; other columns of any name stay as they are."""
+    return _by_ids(docs, ids, "left_anti")
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is one of ids, likewise."""
+    return _by_ids(docs, ids, "left_semi")

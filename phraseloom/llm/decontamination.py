@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import bounded_broadcast, stored
+from phraseloom.llm.common import bounded_broadcast, stored, without_ids
 
 #: What counts as a number word and, after a number, as a unit.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
@@ -197,5 +197,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns as they are."""
-    held = stored(matches(docs, benchmark, rule).select(F.col("doc_id").alias("held_id")).distinct(), "contaminated")
-    return docs.join(bounded_broadcast(held), docs["doc_id"].eqNullSafe(F.col("held_id")), "left_anti")
+    return without_ids(docs, stored(matches(docs, benchmark, rule).select("doc_id").distinct(), "contaminated"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import WORD, arrow_map, bounded_broadcast, discard, ids_and_texts, stored, texts_of
+from phraseloom.llm.common import WORD, arrow_map, bounded_broadcast, discard, ids_and_texts, only_ids, stored, texts_of, without_ids
 
 SEGMENTS, WIDTH, DISTANCE = 8, 8, 3
 #: Differences allowed in the first L segments of a chain, for L = 1 to 8.
@@ -40,25 +40,33 @@ _word = re.compile(WORD.encode())
 _all = (1 << 64) - 1
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of one text; 0 if it has no word."""
+def shingles(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """The hash of each shingle of a text in its order, repeats included; of the whole sequence if it has fewer words; none without words."""
     found = _word.findall(text.encode("utf-8", "replace").lower())  # of bytes, lower() changes A-Z alone
     if not found:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(found)
     digest = xxhash.xxh64_intdigest
     if len(found) < words:
-        hashes = [digest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(found) - words + 1].tolist()
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+        return np.array([digest(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(found) - words + 1].tolist()
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of shingle hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):  # bounds the memory that the bits of a very long text take
-        part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint of one text; 0 if it has no word."""
+    return fingerprint_of(shingles(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -167,27 +175,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, bucket_limi
 
 @dataclass(frozen=True)
 class Similar:
-    """Similar documents: shingle length, least Jaccard similarity of the shingle sets, and the bands of minima that find them.
+    """Similar documents: shingle length, least similarity of the shingle sets, its measure, and the bands of minima that find them.
 
-    Of pairs at similarity 0.8 all but 1 in 38,000 share one of 20 bands of 4 minima.
+    The measure is "jaccard" (shared shingles over all) or "cosine" (shared shingles over the root of the product of both
+    numbers; what SimHash estimates). Of pairs at 0.8 share one of 24 bands of 3 minima: by jaccard all but 1 in 30 million, by
+    cosine all but 1 in 1,300 (a jaccard similarity of 0.64, the least that 0.8 allows).
     """
 
     words: int = 5
     similarity: float = 0.8
-    bands: int = 20
-    rows: int = 4
+    bands: int = 24
+    rows: int = 3
+    measure: str = "jaccard"
+
+    def __post_init__(self) -> None:
+        if self.measure not in ("jaccard", "cosine"):
+            raise ValueError(f"no measure {self.measure!r}")
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted; of the whole sequence if it has fewer words."""
-    found = _word.findall(text.encode("utf-8", "replace").lower())
-    if not found:
-        return np.array([], np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.array(sorted({digest(b" ".join(found[k : k + words]), 42) for k in range(max(1, len(found) - words + 1))}), np.uint64)
+    return np.unique(shingles(text, words))
 
 
 def _band_keys(hashes: np.ndarray, p: Similar) -> list[int]:
+    """A number for each band, which tells bands apart: a mixture of the band's minima."""
     factors = np.random.default_rng(17).integers(1, 1 << 63, p.bands * p.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(len(factors), np.uint64(_all))
     for k in range(0, len(hashes), 2048):
@@ -203,68 +215,129 @@ def sketches(docs: DataFrame, p: Similar) -> DataFrame:
     """(doc_id, fp, node, n, bands): fingerprint, digest and size of the shingle set, and its band keys; one pass, no shuffle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch)
-        sets = [shingle_hashes(t, p.words) for t in texts]
-        fps = np.array([fingerprint(t, p.words) for t in texts], np.uint64).view(np.int64)
-        bands = pa.array([_band_keys(h, p) if len(h) else [] for h in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([_node(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), bands], names=["doc_id", "fp", "node", "n", "bands"])
+        fps, nodes, sizes, bands = [], [], [], []
+        for text in texts_of(batch):
+            every = shingles(text, p.words)
+            own = np.unique(every)
+            fps.append(fingerprint_of(every))
+            nodes.append(_node(own))
+            sizes.append(len(own))
+            bands.append(_band_keys(own, p) if len(own) else [])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "fp", "node", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(ids_and_texts(docs), run, f"doc_id {kind}, fp long, node string, n long, bands array<bigint>")
 
 
+def _alike(shared: Column, x: Column, y: Column, p: Similar) -> Column:
+    """Whether sets of x and y members that share so many are similar enough."""
+    return shared >= p.similarity * (x + y - shared) if p.measure == "jaccard" else shared >= p.similarity * F.sqrt(x * y)
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: Similar) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets are similar enough; only their texts are read again."""
-    sizes = sets.select("node", "n", "rep")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ra")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("rb")), "b")
-    near = stored(near.where(F.least("na", "nb") >= p.similarity * F.greatest("na", "nb")), "pairs")
-    wanted = stored(near.select(F.explode(F.array("ra", "rb")).alias("wanted_id")).distinct(), "wanted")
+    sizes = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("rep").alias(f"r{side}"))
+    near = pairs.join(sizes("a"), "a").join(sizes("b"), "b")
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    near = stored(near.where(_alike(least, least, most, p)), "pairs")  # the smaller set at best lies in the larger
+    ids = lambda side: near.select(F.col(side).alias("wanted_id"))
+    wanted = stored(ids("ra").distinct().unionByName(ids("rb").distinct()).distinct(), "wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_hashes(t, p.words) for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found]), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    texts = docs.select("doc_id", "text").join(bounded_broadcast(wanted), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi")
+    texts = ids_and_texts(docs).join(bounded_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     held = stored(arrow_map(texts, run, "node string, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
     both = near.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return stored(both.where(shared >= p.similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar-pairs")
+    out = stored(both.where(_alike(shared, F.size("x"), F.size("y"), p)).select("a", "b"), "similar-pairs")
+    for df in (near, wanted, held):
+        discard(df)
+    return out
+
+
+def _simhash_edges(own: DataFrame, bucket_limit: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a fingerprint or have two that link; a node may have several, by repeats of its shingles."""
+    both = stored(own.select("fp", "node").distinct(), "fingerprints")
+    firsts = stored(both.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
+    same = both.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    name = lambda fp, node: firsts.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    close = links(firsts.select("fp"), bucket_limit).join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return stored(same.unionByName(close).where("a <> b").distinct(), "simhash-links")
 
 
-def similar_documents(docs: DataFrame, p: Similar | None = None, bucket_limit: int = 512) -> DataFrame:
+def _joined_up(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The labels (node, label) after the pairs (a, b) are linked too; only labels that the pairs touch take part."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    edges = stored(pairs.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "label-links")
+    if edges.isEmpty():
+        return labels
+    roots = components(edges).select(F.col("node").alias("label"), "root")
+    return stored(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _led(keyed: DataFrame) -> DataFrame:
+    """The rows (key, band, node, weight) of keys with two nodes or more, with the key's size and leader: the node of the most weight."""
+    of = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("node")))["node"].alias("leader"))
+    return keyed.join(of.where("size > 1"), "key")
+
+
+def similar_documents(docs: DataFrame, p: Similar | None = None, bucket_limit: int = 512, direct: int = 16) -> DataFrame:
     """(doc_id, component_id): components of documents that SimHash links, or whose shingle sets are at least p.similarity alike.
 
     Three differing bits of a SimHash stand for a similarity far above 0.8, so that its links alone would miss most
     pairs at 0.8. Documents that share a band of minima are therefore candidates too, and are checked on their whole
-    shingle sets. Only distinct shingle sets take part. In a band's bucket all are first compared with its first member;
-    then the members that this left outside that member's component are compared with the whole bucket. So what is
-    joined already is not compared again, and no pair that could join two components is left out.
+    shingle sets. Only distinct shingle sets (nodes) take part.
+
+    Candidates grow with the members of a bucket, not with their pairs. All are compared with the bucket's leader, which
+    is the member with the largest buckets in all, so of a group of copies the text that they come from. Where members are left outside the
+    leader's component, a bucket of at most ``direct`` members compares them with all that they aren't joined to; a
+    larger one is split by the keys of two, then of four neighbouring bands, each part with a leader of its own.
+    What still shares twelve minima after that and isn't joined is compared outright. Worst case: a pair in
+    crowded buckets alone (both texts mostly a passage that more than ``direct`` others share, neither like any leader) is
+    found only if it shares the finer keys; and m such texts with the same twelve minima make up to m * m / 2 comparisons.
+
+    Null and empty texts are alike; a null id is an id; rows that repeat an id are searched with each of their texts.
     """
     p = p or Similar()
     own = stored(sketches(docs, p), "sketches")
-    sets = stored(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-nodes")
-    by_fp = sets.groupBy("fp").agg(F.min("node").alias("first"))
-    by_fp = stored(by_fp, "fingerprint-nodes")
-    same = sets.join(by_fp, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    close = links(by_fp.select("fp"), bucket_limit).join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = stored(same.unionByName(close), "simhash-links")
+    sets = stored(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-nodes")
+    labels = _joined_up(sets.select("node", F.col("node").alias("label")), _simhash_edges(own, bucket_limit))
     members = sets.select("node", F.posexplode("bands").alias("band", "key"))
-    firsts = members.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    buckets = stored(members.join(firsts, ["band", "key"]), "buckets")
-    pairs = stored(buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
-    edges = stored(edges.unionByName(_verified(docs, sets, pairs, p)), "links")
-    label = components(edges).withColumnRenamed("root", "label")
-    named = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(label.select(F.col("node").alias("first"), F.col("label").alias("first_label")), "first", "left").withColumn("first_label", F.coalesce("first_label", "first"))
-    named = stored(named, "named-buckets")
-    outside = named.where("label <> first_label").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    rest = outside.join(named.select("band", "key", F.col("node").alias("y"), F.col("label").alias("ly")), ["band", "key"]).where("lx <> ly")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(docs, sets, stored(rest, "second-pairs"), p)
-    roots = label.withColumnRenamed("label", "root") if more.isEmpty() else components(edges.unionByName(more))
-    rooted = sets.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return own.select("doc_id", "node").join(rooted.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    shared = stored(members.join(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "band-members")
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighted = stored(shared.drop("size").join(weights, "node"), "band-weights")
+    discard(shared)
+    for width in (1, 2, 4, 0):
+        if width == 1:
+            led = stored(_led(weighted), "buckets")
+            pairs = led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        else:
+            # buckets in which some member isn't joined to the leader
+            of = lambda node, label: labels.select(F.col("node").alias(node), F.col("label").alias(label))  # noqa: E731, B023
+            named = led.join(of("node", "label"), "node").join(of("leader", "leader_label"), "leader")
+            apart = named.groupBy("key").agg(F.max((F.col("label") != F.col("leader_label")).cast("int")).alias("apart")).where("apart = 1").select("key")
+            open_ = stored(named.join(apart, "key", "left_semi").select("key", "band", "node", "weight", "size", "label", "leader_label"), "open-buckets")
+            discard(led)
+            if open_.isEmpty():
+                break
+            outright = open_ if not width else open_.where(F.col("size") <= direct)
+            left = outright.where("label <> leader_label").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+            met = left.join(outright.select("key", F.col("node").alias("y"), F.col("label").alias("ly")), "key").where("lx <> ly")
+            pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            if width:
+                finer = F.xxhash64(F.slice(F.concat("bands", "bands"), F.col("band") + 1, F.lit(width)), F.col("band"))
+                crowded = open_.where(F.col("size") > direct).join(sets.select("node", "bands"), "node")
+                led = stored(_led(crowded.select(finer.alias("key"), "band", "node", "weight")), "buckets")
+                ends = led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+                near = ends.join(of("a", "la"), "a").join(of("b", "lb"), "b").where("la <> lb")
+                pairs = pairs.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = stored(pairs.distinct(), "candidates")
+        labels = _joined_up(labels, _verified(docs, sets, pairs, p))
+    rooted = sets.select("node", "rep").join(labels, "node")
+    smallest = rooted.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return own.select("doc_id", "node").join(rooted.join(smallest, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, p: Similar | None = None, bucket_limit: int = 512) -> DataFrame:
@@ -273,10 +346,9 @@ def drop_near_duplicates(docs: DataFrame, p: Similar | None = None, bucket_limit
     Of rows that repeat a kept doc_id, one stays. Texts without words are all alike.
     """
     found = stored(similar_documents(docs, p, bucket_limit).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "components")
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost_id"))
-    kept = docs.join(bounded_broadcast(lost), docs["doc_id"].eqNullSafe(F.col("lost_id")), "left_anti")
-    again = stored(found.where((F.col("n") > 1) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("again_id")), "repeated-ids")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = without_ids(docs, stored(found.where(~own).select("doc_id"), "lost"))
+    again = stored(found.where((F.col("n") > 1) & own).select("doc_id"), "repeated-ids")
     if again.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(again["again_id"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return without_ids(kept, again).unionByName(only_ids(kept, again).dropDuplicates(["doc_id"]))
