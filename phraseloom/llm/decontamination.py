@@ -12,13 +12,21 @@ At least half of a template window has to be plain words. The other windows of a
 looked up by their words as they are. A document holds an item if consistent template windows cover ``min_windows`` places of
 it (or all that it has, if fewer), or if windows of both kinds do.
 
-Everything is DataFrame operations. Benchmark windows are broadcast only below a checked number of rows; beyond it the same
-join is a shuffle join on the hash.
+Few documents hold anything of a benchmark, so a cheap look finds those that can: each needed window of an item has a
+stretch of words that no placeholder can stand for (firm words), and any seven words in a row of a document hold four that
+start at a multiple of four. The hashes of a document's words by fours, from every fourth, second or each place as the shortest
+stretch asks for, are joined with those of the stretches. Where a window's stretches are all shorter than four, a document
+has to have two words of each stretch (or all single words). Only documents that meet a window like this are searched window by
+window. Nothing is lost by that: with a window without firm words all documents are searched.
+
+Everything is DataFrame operations. Benchmark windows are broadcast only below a checked number of bytes; beyond it the same
+join is a shuffle join on the hash. A window that k items share makes k rows for each document that has it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +36,10 @@ from phraseloom.llm.common import bounded_broadcast, stored, without_ids
 #: What counts as a number word and, after a number, as a unit.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "mg", "g", "kg", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "mph", "kmh", "watt", "watts", "volt", "volts")
-#: Window length in words, the fewest words of an item that can match, rows of benchmark windows that may be broadcast.
-WINDOW, LEAST_WORDS, BROADCAST_ROWS = 8, 4, 2_000_000
-_A, _a = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Window length in words, and the fewest words of an item that can match.
+WINDOW, LEAST_WORDS = 8, 4
+#: Where a number and its unit are written as one word.
+UNIT_JOINT = rf"(?<=\p{{N}})(?=(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}]))"
 
 
 @dataclass(frozen=True)
@@ -47,7 +56,8 @@ def with_words(df: DataFrame, *keep: str) -> DataFrame:
     out anew for every word.
     """
     # line ends are words until the last step, since the first word of a line isn't taken for a name
-    raw = F.filter(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" \n ")), r"[\x20\x09\x0B-\x0D]+"), lambda w: w != "")
+    text = F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" \n ")), f"(?i){UNIT_JOINT}", " ")
+    raw = F.filter(F.split(text, r"[\x20\x09\x0B-\x0D]+"), lambda w: w != "")
     step = df.select(*keep, raw.alias("raw"))
     bare = F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     before = F.concat(F.array(F.lit("\n")), F.col("raw"))  # one longer; its last element meets no word
@@ -115,12 +125,8 @@ def _other_forms(i: Column, n: int) -> Column:
     return F.when(second == 0, F.array(whole)).when(third == 0, F.array(whole, mixed("t", "p"), mixed("p", "t"))).otherwise(every)
 
 
-def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(hash, length, item_id, at, n_windows, n_usable, exact, slotted): every window of every item.
-
-    Windows that are plain words for at least half, n_usable of an item's n_windows, are hashed as templates, the others
-    (exact) by their words as they are. A template window has a row for each form, as in _windows, that keeps half plain.
-    """
+def _cut(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, length, n_windows, n_usable, at, part, plain, exact): every window of every item, with its words."""
     words = stored(with_words(benchmark, "item_id").where(F.size("w") >= LEAST_WORDS), "benchmark-words")
     # an item shorter than the window is one window of its own length
     length = F.least(F.lit(window), F.size("w"))
@@ -130,7 +136,15 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     usable = F.size(F.filter("parts", lambda part: plain(part) * 2 >= F.size(part)))
     cut = words.select("item_id", length.alias("length"), (F.size("w") - length + 1).alias("n_windows"), parts.alias("parts"))
     cut = cut.select("item_id", "length", "n_windows", usable.alias("n_usable"), F.posexplode("parts").alias("at", "part")).withColumn("plain", plain("part"))
-    cut = cut.withColumn("exact", F.col("plain") * 2 < F.col("length"))
+    return cut.withColumn("exact", F.col("plain") * 2 < F.col("length"))
+
+
+def benchmark_windows(cut: DataFrame) -> DataFrame:
+    """(hash, length, item_id, at, n_windows, n_usable, exact, slotted): every window of every item.
+
+    Windows that are plain words for at least half, n_usable of an item's n_windows, are hashed as templates, the others
+    (exact) by their words as they are. A template window has a row for each form, as in _windows, that keeps half plain.
+    """
     form = lambda x, word, plain: F.struct(F.concat(x["key"], F.array(F.xxhash64(word))).alias("key"), (x["plain"] + plain).alias("plain"))
     empty = F.array(F.struct(F.array().cast("array<bigint>").alias("key"), F.lit(0).alias("plain")))
     forms = F.aggregate(
@@ -145,6 +159,79 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return stored(hashed, "benchmark-windows")
 
 
+def _finer(text: Column) -> Column:
+    """Letters and digits in a row, lower-cased: what words are made of, whatever joins them."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
+def _pairs(words: Column | str, distance: int) -> Column:
+    """The hash of each member with the one so many places on; those at the end, with nothing."""
+    return F.zip_with(words, F.slice(words, distance + 1, F.greatest(F.lit(0), F.size(words) - distance)), lambda x, y: F.xxhash64(x, y))
+
+
+def _blocks(words: Column | str, size: int, stride: int = 1) -> Column:
+    """The hashes of 4, 2 or 1 words in a row, from every stride-th place."""
+    if size == 1:
+        return F.transform(words, lambda x: F.xxhash64(x))
+    every = _pairs(words, 1) if size == 2 else _pairs(_pairs(words, 1), 2)
+    return every if stride == 1 else F.filter(every, lambda x, i: i % stride == 0)
+
+
+def _heaviest(words: Column | str, length: int) -> Column:
+    """The stretch of so many words with the most letters, as the rarest."""
+    part = lambda i: F.slice(words, i, F.lit(length))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (length - 1)))
+    return F.array_max(F.transform(places, lambda i: F.struct(F.length(F.array_join(part(i), "")).alias("w"), part(i).alias("words"))))["words"]
+
+
+def anchors(cut: DataFrame, min_windows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(block, window, need): every document that holds an item has need distinct blocks of some window; and the sizes of blocks, with their strides.
+
+    A document that holds an item matches at least min_windows of its windows (or all), so all but one of that many may be
+    left out: those with the shortest stretches of firm words. Of each other window's longest stretch 3 + stride words give
+    blocks at all places: wherever in a document the stretch lies, one of them starts at a multiple of the stride. Size 0
+    stands for a window without firm words.
+    """
+    next_unit = lambda i: F.coalesce(F.get("part", i + 1)["t"] == "<u>", F.lit(False))
+    # a number may be written as one word with its unit
+    firm = lambda s, i: F.when(F.col("exact"), (s["t"] != "<u>") & ~next_unit(i)).otherwise((s["t"] == s["v"]) & ~s["n"])
+    joined = F.array_join(F.transform("part", lambda s, i: F.when(firm(s, i), s["v"]).otherwise(F.lit("\x01"))), " ")
+    runs = F.transform(F.split(joined, "\x01"), lambda r: F.filter(_finer(r), lambda x: x != ""))
+    own = cut.select("item_id", "at", "n_windows", "n_usable", runs.alias("runs")).withColumn("best", F.array_max(F.transform("runs", lambda r: F.struct(F.size(r).alias("n"), r.alias("words")))))
+    usable = F.when(F.col("n_usable") > 0, F.least(F.lit(min_windows), "n_usable")).otherwise(min_windows)
+    needed = F.least(usable, F.least(F.lit(min_windows), "n_windows"))
+    n = F.col("best.n")
+    kept = own.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("best.n", "at"))).where(F.col("r") >= needed)
+    size, stride = F.when(n >= 4, 4).when(n >= 2, 2).otherwise(n), F.when(n >= 7, 4).when(n >= 5, 2).otherwise(1)
+    kept = stored(kept.select("item_id", "at", "runs", "best.words", size.alias("size"), stride.alias("stride")), "benchmark-stretches")
+    sizes = {r["size"]: r["stride"] for r in kept.groupBy("size").agg(F.min("stride").alias("stride")).collect()}  # four at most
+    found = [kept.select(F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("window"), F.lit(1).alias("need")).limit(0)]
+    for k, step in sizes.items():
+        if k == 4:
+            blocks = F.slice(_blocks("stretch", 4), 1, step)
+            found.append(kept.where("size = 4").select(_heaviest("words", 3 + step).alias("stretch")).select(F.explode(blocks).alias("block")).select("block", F.col("block").alias("window"), F.lit(1).alias("need")))
+        elif k:
+            long = F.filter("runs", lambda r: F.size(r) >= k)  # noqa: B023
+            of = F.flatten(F.transform(long, lambda r: F.slice(_blocks(_heaviest(r, 2), 2), 1, 1))) if k == 2 else F.transform(F.flatten(long), lambda x: F.xxhash64(x))
+            both = kept.where(F.col("size") == k).select(F.xxhash64("item_id", "at").alias("window"), F.array_distinct(of).alias("blocks"))
+            found.append(both.select(F.explode("blocks").alias("block"), "window", F.size("blocks").alias("need")))
+    return stored(reduce(DataFrame.unionByName, found).distinct(), "benchmark-anchors"), sizes
+
+
+def _candidates(keyed: DataFrame, found: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """The rows (doc_id, h, text) that can hold an item, by the anchors; all where a window has none."""
+    if 0 in sizes:
+        return keyed
+    if not sizes:
+        return keyed.where(F.lit(False))
+    words = keyed.select("doc_id", "h", _finer(F.coalesce("text", F.lit(""))).alias("words"))
+    blocks = words.select("doc_id", "h", F.explode(F.concat(*[_blocks("words", k, stride) for k, stride in sorted(sizes.items())])).alias("block"))
+    met = blocks.join(bounded_broadcast(found), "block").groupBy(F.col("doc_id").alias("met_id"), F.col("h").alias("met_h"), "window", "need").agg(F.count_distinct("block").alias("n"))
+    hit = stored(met.where("n >= need").select("met_id", "met_h").distinct(), "benchmark-candidates")
+    same = keyed["doc_id"].eqNullSafe(F.col("met_id")) & (keyed["h"] == F.col("met_h"))
+    return stored(keyed.join(bounded_broadcast(hit), same, "left_semi"), "candidate-texts")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots, coverage): a row for each document and item that it holds.
 
@@ -152,15 +239,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     with other texts are searched each and reported together; the same text again adds nothing. A null id is an id.
     """
     rule = rule or Rule()
-    bench = benchmark_windows(benchmark, rule.window)
+    cut = _cut(benchmark, rule.window)
+    bench = benchmark_windows(cut)
     lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())  # at most as many as the window is long
     if not lengths:
         lengths = [rule.window]
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    keyed = _candidates(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), *anchors(cut, rule.min_windows))
     exact = not bench.where("exact").isEmpty()
     found = _windows(with_words(keyed, "doc_id", "h"), lengths, exact, "doc_id", "h")
-    small = bench.count() <= BROADCAST_ROWS
-    hit = found.join(F.broadcast(bench) if small else bench, "hash")
+    hit = found.join(bounded_broadcast(bench), "hash")
     # a window met by plain words alone needs no look at its slots, whatever other forms of it are met
     each = hit.select("doc_id", "h", "pos", "item_id", "at", "length", "n_windows", "n_usable", "exact", "slotted", (F.col("pos") - F.col("at")).alias("shift"))
     hits = stored(each.groupBy(*[c for c in each.columns if c != "slotted"]).agg(F.min("slotted").alias("slotted")), "benchmark-hits")
