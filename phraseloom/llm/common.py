@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A word, as a pattern for Python and for Java.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch at most: 1,000 rows of very long texts still fit a Python worker.
-BATCH_ROWS = 1000
+#: Rows in an Arrow batch at most, and the bytes of a batch beyond which it is worked on in parts.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, and only where that is unset (tests) a new temporary one."""
+    """The shared folder: spark.checkpoint.dir, and only where that is unset in local mode (tests) a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="phraseloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,7 +72,10 @@ def importable(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow by batches of a bounded number of rows."""
+    """mapInArrow by batches of a bounded number of rows, and in parts of about BATCH_BYTES where rows are long.
+
+    Spark reads the number of rows from the session when the query runs, so it is set there and stays.
+    """
     importable(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
@@ -78,8 +83,9 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)) if batch.nbytes > BATCH_BYTES else batch.num_rows
+            for k in range(0, batch.num_rows, max(1, rows)):
+                yield function(batch.slice(k, rows))
 
     return df.mapInArrow(run, schema)
 
@@ -97,11 +103,31 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
+#: Bytes of labelled texts that a fit may fetch at most.
+SAMPLE_BYTES = 64 << 20
+
+
+def fetched(rows: DataFrame, limit: int = SAMPLE_BYTES) -> list[dict]:
+    """The rows (doc_id, text, label) of a sample of a bounded number of rows, by doc_id; by a hash of the id as many as have limit bytes of text."""
+    rows = stored(rows, "sample")
+    sizes = rows.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id", F.lit(2)).alias("h")).collect()
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], str(r["doc_id"]), str(r["label"]))):
+        if total + r["size"] <= limit:
+            total += r["size"]
+            kept.append(r["doc_id"])
+    if len(kept) < len(sizes):
+        rows = rows.where(F.col("doc_id").isin(kept))
+    out = rows.toArrow().to_pylist()
+    discard(rows)
+    return sorted(out, key=lambda r: (r["doc_id"], str(r["label"])))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, usable: Column) -> DataFrame:
-    """(text, label) of at most per_class documents of each label 0 and 1, by the order of a hash of the id.
+    """(doc_id, text, label) of at most per_class documents of each label 0 and 1, by the order of a hash of the id.
 
-    The bound makes the sample safe to fetch, whatever the size of the table. Ids with a null label, or with both
-    labels, are left out. The ids are found on the narrow label table; only their texts are read.
+    Ids with a null label, or with both labels, are left out. The ids are found on the narrow label table; only their
+    texts are read.
     """
     own = (
         labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & usable)

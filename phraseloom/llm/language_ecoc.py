@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import arrow_map, fold, texts_of
+from phraseloom.llm.common import arrow_map, fetched, fold, stored, texts_of
 
 #: Buckets of the n-gram hash, and the orders of the n-grams.
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3)
@@ -150,23 +150,27 @@ def train(texts: list[str], labels: list[str]) -> LanguageModel:
     return LanguageModel(languages, code, _fit_bits(rows, signs), trust / trust.mean())
 
 
-def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400, languages: int = 200) -> LanguageModel:
-    """Train on at most per_language documents of each of at most ``languages`` languages, by the order of a hash of the id.
+def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400, rows: int = 80_000) -> LanguageModel:
+    """Train on at most per_language documents of each language, fewer if there are so many languages that they would be more than rows in all.
 
-    The ids are found on narrow rows, a few from each task; only the chosen texts come to the driver.
+    Documents are taken in the order of a hash of the id, and SAMPLE_BYTES of text at most. The ids are found on narrow
+    rows, of which each language first keeps those with a small hash; only the chosen texts come to the driver. A
+    document is an id with a language: of rows that repeat it the first text by order counts.
     """
-    named = docs.where(F.col("lang").isNotNull() & (usable if usable is not None else F.lit(True)))
-    common = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not common:
+    named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (usable if usable is not None else F.lit(True)))
+    narrow = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    counts = stored(narrow.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return train([], [])
-    order = F.xxhash64("doc_id")
-    narrow = named.where(F.col("lang").isin(common)).select("doc_id", "lang", order.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part"))
-    # two rank filters: each of the 64 parts of a language keeps per_language at most before the language is put together
-    some = narrow.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("n") <= per_language)
-    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_language).select("doc_id", "lang")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(some), ["doc_id", "lang"]).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], [r["lang"] for r in rows])
+    most = max(1, min(per_language, rows // languages))
+    # about twice as many as wanted, and a few more, pass by their hash; rows repeat an id at will and are made distinct
+    small = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < (2.0 * most + 50) / F.col("n")
+    some = narrow.join(F.broadcast(counts) if languages <= rows else counts, "lang").where(small).select("doc_id", "lang", "h").distinct()
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= most).select("doc_id", "lang")
+    texts = named.select("doc_id", "text", "lang").join(F.broadcast(some), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = fetched(texts.select("doc_id", "text", F.col("lang").alias("label")))
+    return train([r["text"] or "" for r in found], [r["label"] for r in found])
 
 
 def predict_table(docs: DataFrame, model: LanguageModel, folds: int = 4, held: int = 2) -> DataFrame:

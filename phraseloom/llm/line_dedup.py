@@ -6,19 +6,25 @@ distinct aggregation and no lists. Inserting documents adds their counts, deleti
 index after insert and delete equals the index of the documents that remain.
 
 Filters. The keys at or over the threshold are dealt into shards by their hash, and each shard has a cuckoo filter (two
-buckets for a key, four 16-bit tags in a bucket, insertion by moving tags, deletion by removing one). A line whose tag
-is in neither of its buckets is certainly kept; only lines that the filter lets through are looked up in the exact
-table of the keys at or over the threshold. When counts change, only the shards of keys that cross the threshold change.
+buckets for a key, four 32-bit tags in a bucket, insertion by moving tags, deletion by removing one), stored by shard.
+When counts change, the keys that cross the threshold are added to their shards' filters or removed from them; the other
+shards' files stay as they are. Only a shard whose filter has become too full is built anew, with more room.
 
-Dropping is a pass over the texts without a shuffle as long as filters and exact keys fit ``broadcast_bytes``, which is
-checked by counting first; beyond that, lines are joined with the exact table by their hash and the dropped line
-numbers come back to their documents by a second join. Both ways give the same rows.
+A line whose tag is in neither of its buckets is kept. What the filters pass is looked up in the exact count table, once
+for all documents: the few keys that the filters pass although they are under the threshold are found by one map over the
+count table. So a line goes if its filter passes it and it is none of these.
+
+Dropping is a pass over the texts without a shuffle as long as filters and wrongly passed keys have ``broadcast_bytes`` at
+most, which is checked by their real sizes; beyond that, lines are joined with the exact table by their hash and the
+dropped keys come back to their documents by a second join, without filters. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import SPACE, arrow_map, importable, shared_dir, stored, texts_of
+from phraseloom.llm.common import SPACE, arrow_map, discard, free_name, importable, shared_dir, stored, texts_of
 
 _upper = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _space = SPACE.encode()
 SLOTS = 4
-#: Keys in one shard's filter, about: a filter of 2^16 buckets of 4 tags is half a megabyte and is at most about half full.
-SHARD_KEYS = 100_000
+#: Keys in one shard's filter, about, when an index is begun; and the share of a filter's places from which it is built anew.
+SHARD_KEYS, FULL = 100_000, 0.9
 
 
 def line_hash(line: bytes) -> tuple[int, int] | None:
@@ -46,18 +52,18 @@ def line_hash(line: bytes) -> tuple[int, int] | None:
 
 
 class CuckooFilter:
-    """Tags of 64-bit hashes; may say yes by chance (about 8 in 65,536), never no for what was added."""
+    """Tags of 64-bit hashes; may say yes by chance (about 8 in 2^32), never no for what was added."""
 
     def __init__(self, keys: int, seed: int = 7) -> None:
         buckets = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / SLOTS / 0.8))))
         self.mask = buckets - 1
-        self.tags = np.zeros((buckets, SLOTS), np.uint16)
+        self.tags = np.zeros((buckets, SLOTS), np.uint32)
         self.random = np.random.default_rng(seed)
         self.spilled: list[int] = []  # hashes for which no place was found, kept whole
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = h.astype(np.uint64)
-        tag = np.maximum((h >> np.uint64(48)).astype(np.int64), 1)
+        tag = np.maximum((h >> np.uint64(32)).astype(np.int64), 1)
         first = (h & np.uint64(self.mask)).astype(np.int64)
         return tag, first, self._other(first, tag)
 
@@ -99,19 +105,22 @@ class CuckooFilter:
                 return True
         return False
 
+    def full(self) -> bool:
+        return bool(self.spilled) or np.count_nonzero(self.tags) > FULL * self.tags.size
+
     def has(self, h: np.ndarray) -> np.ndarray:
         tag, first, second = self._places(h.astype(np.int64).view(np.uint64))
         found = (self.tags[first] == tag[:, None]).any(1) | (self.tags[second] == tag[:, None]).any(1)
         return found | np.isin(h.astype(np.int64).view(np.uint64), np.array(self.spilled, np.uint64)) if self.spilled else found
 
     def pack(self) -> bytes:
-        return len(self.spilled).to_bytes(4, "little") + np.array(self.spilled, "<u8").tobytes() + self.tags.astype("<u2").tobytes()
+        return len(self.spilled).to_bytes(4, "little") + np.array(self.spilled, "<u8").tobytes() + self.tags.astype("<u4").tobytes()
 
     @classmethod
     def unpack(cls, data: bytes) -> CuckooFilter:
         out, n = cls(1), int.from_bytes(data[:4], "little")
         out.spilled = np.frombuffer(data[4 : 4 + 8 * n], "<u8").tolist()
-        out.tags = np.frombuffer(data[4 + 8 * n :], "<u2").reshape(-1, SLOTS).copy()
+        out.tags = np.frombuffer(data[4 + 8 * n :], "<u4").reshape(-1, SLOTS).copy()
         out.mask = len(out.tags) - 1
         return out
 
@@ -147,46 +156,105 @@ def shard_of(shards: int):
 
 
 def build_filters(frequent: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): a packed cuckoo filter for each shard of the keys (hi, lo)."""
+    """(shard, filter, full): a packed cuckoo filter for each shard of the keys (hi, lo), with room for a quarter more."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         hashes = table.column("hi").to_numpy()
-        own = CuckooFilter(len(hashes))
+        own = CuckooFilter(len(hashes) * 5 // 4)
         for h in np.sort(hashes).tolist():
             own.add(h)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([own.pack()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([own.pack()], pa.binary()), "full": pa.array([False])})
 
     importable(frequent.sparkSession)
-    return frequent.select(shard_of(shards).alias("shard"), "hi").groupBy("shard").applyInArrow(run, "shard int, filter binary")
+    return frequent.select(shard_of(shards).alias("shard"), "hi").groupBy("shard").applyInArrow(run, "shard int, filter binary, full boolean")
+
+
+def changed_filters(filters: DataFrame, crossing: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter, full): the filters of the shards that crossing (hi, lo, up) touches, with its keys added (up) or removed."""
+
+    def run(key: tuple, old: pa.Table, table: pa.Table) -> pa.Table:
+        hashes, up = table.column("hi").to_numpy(), table.column("up").to_numpy(zero_copy_only=False)
+        own = CuckooFilter.unpack(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter(len(hashes) * 5 // 4)
+        for h in np.sort(hashes[~up]).tolist():
+            own.remove(h)
+        for h in np.sort(hashes[up]).tolist():
+            own.add(h)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([own.pack()], pa.binary()), "full": pa.array([own.full()])})
+
+    importable(crossing.sparkSession)
+    touched = crossing.select(shard_of(shards).alias("shard"), "hi", "up")
+    held = filters.join(touched.select("shard").distinct(), "shard", "left_semi").select("shard", "filter")
+    return held.groupBy("shard").cogroup(touched.groupBy("shard")).applyInArrow(run, "shard int, filter binary, full boolean")
 
 
 class LineIndex:
     """Reference counts and filters, stored under a path; changed by insert() and delete(), used by apply().
 
     insert() and delete() take tables of documents; a document has to be deleted with the text it was inserted with.
-    Each call writes a new generation, so a job that fails half-way leaves the index as it was.
+    Each call writes a new generation, so a job that fails half-way leaves the index as it was. Filters are written by shard,
+    and only those that change; the number of shards is set by the first call.
     """
 
     def __init__(self, spark, path: str | None = None, min_docs: int = 10, shard_keys: int = SHARD_KEYS) -> None:
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/phraseloom-lines-{id(self):x}"
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/phraseloom-lines-{uuid.uuid4().hex}"
         self.min_docs, self.shard_keys, self.generation = min_docs, shard_keys, 0
         self.counts: DataFrame | None = None
-        self.frequent: DataFrame | None = None
-        self.filters: DataFrame | None = None
-        self.n_frequent, self.shards = 0, 1
+        self.shards = 1
+        self.written: dict[int, int] = {}  # the generation of each shard's filter
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{self.generation}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.generation}/{name}")
 
+    @property
+    def frequent(self) -> DataFrame:
+        """(hi, lo): the keys at or over the threshold."""
+        return self.counts.where(F.col("n_docs") >= self.min_docs).select("hi", "lo")
+
+    @property
+    def n_frequent(self) -> int:
+        return self.frequent.count()
+
+    @property
+    def filters(self) -> DataFrame:
+        """(shard, filter) of all shards, from the generations that wrote them."""
+        parts = [self.spark.createDataFrame([], "shard int, filter binary")]
+        for k in sorted(set(self.written.values())):
+            own = [s for s, g in self.written.items() if g == k]
+            parts.append(self.spark.read.schema("filter binary, shard int").parquet(f"{self.path}/{k}/filters").where(F.col("shard").isin(own)).select("shard", "filter"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _write_filters(self, made: DataFrame, name: str = "filters") -> list[int]:
+        """Write filters into this generation, a folder for each shard; returns the shards that are too full."""
+        made = stored(made, "filters")
+        made.select("shard", "filter").write.mode("append").partitionBy("shard").parquet(f"{self.path}/{self.generation}/{name}")
+        rows = made.select("shard", "full").collect()  # a number for each shard
+        discard(made)
+        self.written |= {r["shard"]: self.generation for r in rows}
+        return [r["shard"] for r in rows if r["full"]]
+
     def _change(self, docs: DataFrame, sign: int) -> LineIndex:
         self.generation += 1
         change = reference_counts(docs)
-        self.counts = self._write(change if self.counts is None and sign > 0 else combined(self.counts, change, sign), "counts")
-        self.frequent = self._write(self.counts.where(F.col("n_docs") >= self.min_docs).select("hi", "lo"), "frequent")
-        self.n_frequent = self.frequent.count()
-        self.shards = max(1, -(-self.n_frequent // self.shard_keys))
-        self.filters = self._write(build_filters(self.frequent, self.shards), "filters")
+        if self.counts is None:
+            self.counts = self._write(change.withColumn("n_docs", F.col("n_docs") * sign), "counts")
+            self.shards = max(1, -(-self.n_frequent // self.shard_keys))
+            self._write_filters(build_filters(self.frequent, self.shards))
+            return self
+        change = stored(change, "line-changes")
+        old = self.counts
+        self.counts = self._write(combined(old, change, sign), "counts")
+        both = change.select("hi", "lo", F.col("n_docs").alias("n_change")).join(old, ["hi", "lo"], "left")
+        before = F.coalesce("n_docs", F.lit(0))
+        was, now = before >= self.min_docs, before + F.col("n_change") * sign >= self.min_docs
+        crossing = stored(both.select("hi", "lo", was.alias("was"), now.alias("up")).where("was <> up").drop("was"), "line-crossing")
+        filters = self.filters
+        full = self._write_filters(changed_filters(filters, crossing, self.shards))
+        if full:
+            self.generation += 1  # of the counts nothing is written here
+            self._write_filters(build_filters(self.frequent.where(shard_of(self.shards).isin(full)), self.shards))
+        discard(change)
+        discard(crossing)
         return self
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -201,37 +269,55 @@ class LineIndex:
         A null or empty text is one empty line, which stays; a text all of whose lines go becomes empty. n_chars, where
         docs has it, follows the new text. All other columns stay as they are.
         """
-        # 16 bytes for an exact key, and less than 8 for its share of a filter
-        if self.n_frequent * 24 <= broadcast_bytes:
-            return _map_lines(docs, _local_tables(self.frequent, self.filters, self.shards), digest)
+        filters = self.filters
+        size = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("size")).first()["size"]
+        if size <= broadcast_bytes and broadcast_bytes > 0:
+            probe = Probe(self.spark, {r["shard"]: r["filter"] for r in filters.toArrow().to_pylist()}, self.shards)
+            rare = self.counts.where(F.col("n_docs") < self.min_docs).select("hi", "lo")
+            wrong = stored(_passed(rare, probe), "wrongly-passed-lines")
+            if size + wrong.count() * 16 <= broadcast_bytes:
+                probe.wrong = frozenset(map(tuple, wrong.collect()))
+                return _map_lines(docs, probe, digest)
         return _join_lines(docs, self.frequent, digest)
 
 
-def _local_tables(frequent: DataFrame, filters: DataFrame, shards: int):
-    """What the workers look lines up in; the caller has checked the size."""
-    rows = frequent.toArrow()
-    keys = set(zip(rows.column("hi").to_pylist(), rows.column("lo").to_pylist(), strict=True))
-    packed = {r["shard"]: r["filter"] for r in filters.toArrow().to_pylist()}
-    held = frequent.sparkSession.sparkContext.broadcast((keys, packed))
-    opened: dict[int, CuckooFilter] = {}
+class Probe:
+    """The packed filters and the few keys that they pass wrongly, for the workers."""
 
-    def dropped(hashes: list[tuple[int, int]]) -> set[tuple[int, int]]:
-        """Those of the hashes that are frequent: by the filters, and then exactly."""
-        keys, packed = held.value
-        if not hashes or not packed:
-            return set()
-        hi, lo = np.array(hashes, np.int64).T
-        shard = lo % shards
-        maybe = np.zeros(len(hashes), bool)
+    def __init__(self, spark, packed: dict[int, bytes], shards: int) -> None:
+        self.held, self.shards, self.wrong = spark.sparkContext.broadcast(packed), shards, frozenset()
+        self.opened: dict[int, CuckooFilter] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"opened": {}}
+
+    def passed(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Whether the filters pass the keys."""
+        out, shard = np.zeros(len(hi), bool), lo % self.shards
         for s in np.unique(shard).tolist():
-            if s in packed:
-                if s not in opened:
-                    opened[s] = CuckooFilter.unpack(packed[s])
+            if s in self.held.value:
+                if s not in self.opened:
+                    self.opened[s] = CuckooFilter.unpack(self.held.value[s])
                 at = shard == s
-                maybe[at] = opened[s].has(hi[at])
-        return {hashes[k] for k in np.flatnonzero(maybe)} & keys
+                out[at] = self.opened[s].has(hi[at])
+        return out
+
+    def dropped(self, hashes: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Those of the keys that are frequent."""
+        if not hashes:
+            return set()
+        hi, lo = np.array(hashes, np.int64).T
+        return {hashes[k] for k in np.flatnonzero(self.passed(hi, lo)).tolist()} - self.wrong
+
+
+def _passed(keys: DataFrame, probe: Probe) -> DataFrame:
+    """Those of the keys (hi, lo) that the filters pass."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hi, lo = (batch.column(n).to_numpy() for n in ("hi", "lo"))
+        return batch.filter(pa.array(probe.passed(hi, lo)))
 
-    return dropped
+    return arrow_map(keys, run, "hi long, lo long")
 
 
 def _finished(batch: pa.RecordBatch, lines: list[list[bytes]], kept: list[list[bytes]], digest: bool) -> pa.RecordBatch:
@@ -257,11 +343,11 @@ def _schema_of(docs: DataFrame, digest: bool):
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" if digest else docs.schema
 
 
-def _map_lines(docs: DataFrame, dropped, digest: bool) -> DataFrame:
+def _map_lines(docs: DataFrame, probe: Probe, digest: bool) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = [t.encode("utf-8", "replace").split(b"\n") for t in texts_of(batch)]
         hashes = [[line_hash(x) for x in own] for own in lines]
-        gone = dropped(list({h for own in hashes for h in own if h is not None}))
+        gone = probe.dropped(list({h for own in hashes for h in own if h is not None}))
         kept = [[x for x, h in zip(own, hs, strict=True) if h not in gone] for own, hs in zip(lines, hashes, strict=True)] if gone else lines
         return _finished(batch, lines, kept, digest)
 
@@ -274,8 +360,8 @@ def _join_lines(docs: DataFrame, frequent: DataFrame, digest: bool) -> DataFrame
     Rows are known by id and text hash here, so that rows that repeat an id don't mix; a row's list of dropped keys is
     as short as its text.
     """
-    own = docs.withColumn("_row_lines", F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")))
-    row_key = F.sha2(F.to_json("_row_lines"), 256)
+    row, lost = free_name(docs.columns, "row_key"), free_name(docs.columns, "lost_keys")
+    row_key = F.sha2(F.to_json(F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))), 256).alias(row)
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         hi, lo, at = [], [], []
@@ -284,28 +370,22 @@ def _join_lines(docs: DataFrame, frequent: DataFrame, digest: bool) -> DataFrame
             hi += [h for h, _ in found]
             lo += [x for _, x in found]
             at += [k] * len(found)
-        return pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["_row", "hi", "lo"])
+        return pa.RecordBatch.from_arrays([batch.column(row).take(pa.array(at, pa.int64())), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=[row, "hi", "lo"])
 
-    rows = arrow_map(own.select(row_key.alias("_row"), "text"), keys, "_row string, hi long, lo long").distinct()
-    lost = rows.join(frequent, ["hi", "lo"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("hi", "lo")).alias("_lost"))
+    rows = arrow_map(docs.select(row_key, "text"), keys, f"{row} string, hi long, lo long").distinct()
+    gone = rows.join(frequent, ["hi", "lo"], "left_semi").groupBy(row).agg(F.collect_list(F.struct("hi", "lo")).alias(lost))
     held = docs.select("doc_id", "text") if digest else docs
-    held = held.withColumn("_row", F.sha2(F.to_json(F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))), 256)).join(lost, "_row", "left").drop("_row")
+    held = held.select("*", row_key).join(gone, row, "left").drop(row)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = [t.encode("utf-8", "replace").split(b"\n") for t in texts_of(batch)]
-        gone = [{(x["hi"], x["lo"]) for x in g or []} for g in batch.column("_lost").to_pylist()]
-        kept = [[x for x in ls if line_hash(x) not in g] if g else ls for ls, g in zip(lines, gone, strict=True)]
-        return _finished(batch.drop_columns(["_lost"]), lines, kept, digest)
+        out = [{(x["hi"], x["lo"]) for x in g or []} for g in batch.column(lost).to_pylist()]
+        kept = [[x for x in ls if line_hash(x) not in g] if g else ls for ls, g in zip(lines, out, strict=True)]
+        return _finished(batch.drop_columns([lost]), lines, kept, digest)
 
     return arrow_map(held, run, _schema_of(docs, digest))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, digest: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Lines whose key at least min_docs documents hold go from every document; see LineIndex.apply for the result."""
-    counts = reference_counts(docs).where(F.col("n_docs") >= min_docs)
-    index = LineIndex(docs.sparkSession, min_docs=min_docs)
-    index.frequent = stored(counts.select("hi", "lo"), "frequent-lines")
-    index.n_frequent = index.frequent.count()
-    index.shards = max(1, -(-index.n_frequent // index.shard_keys))
-    index.filters = stored(build_filters(index.frequent, index.shards), "line-filters")
-    return index.apply(docs, broadcast_bytes, digest)
+    return LineIndex(docs.sparkSession, min_docs=min_docs).insert(docs).apply(docs, broadcast_bytes, digest)

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import arrow_map, fold, labelled_sample, texts_of
+from phraseloom.llm.common import arrow_map, fetched, fold, labelled_sample, texts_of
 
 #: Bytes of a piece, of a dictionary at most, and of the text that a dictionary is built from at most.
 PIECE, DICTIONARY, MATERIAL = 1 << 10, 1 << 16, 8 << 20
@@ -27,12 +27,16 @@ def pieces(text: str) -> list[bytes]:
 
 def dictionary(texts: list[str]) -> bytes:
     """A dictionary of the texts; of the plain text itself where there is too little for the trainer."""
-    own, size = [], 0
+    whole = sum(len(t.encode("utf-8", "replace")) for t in texts)
+    share = min(1.0, MATERIAL / max(1, whole))
+    own, seen = [], 0
     for text in texts:
         for p in pieces(text):
-            if size + len(p) <= MATERIAL:
+            # beyond MATERIAL, pieces at even distances over all texts
+            if int((seen + len(p)) * share / PIECE) > int(seen * share / PIECE) or share == 1:
                 own.append(p)
-                size += len(p)
+            seen += len(p)
+    size = sum(map(len, own))
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(1 << 10, size // 8)), own, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -116,9 +120,8 @@ def _ranks(labels: list[int]) -> list[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, usable: Column | None = None, label: str = "quality") -> CompressionModel:
-    """Train on at most per_class labelled documents of each label, of those labels that ``usable`` allows."""
-    rows = labelled_sample(docs, labels, label, per_class, usable if usable is not None else F.lit(True)).select("doc_id", "text", "label").toArrow().to_pylist()
-    rows.sort(key=lambda r: r["doc_id"])
+    """Train on at most per_class labelled documents of each label (and SAMPLE_BYTES of text), of those labels that ``usable`` allows."""
+    rows = fetched(labelled_sample(docs, labels, label, per_class, usable if usable is not None else F.lit(True)))
     return train([r["text"] or "" for r in rows], [r["label"] for r in rows])
 
 

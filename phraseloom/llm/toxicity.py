@@ -1,9 +1,10 @@
 """Toxicity: a sparse linear classifier with counterfactual regularisation.
 
 A text is the set of its lower-cased words and of their beginnings, hashed. Logistic regression with an L1 penalty is fitted on labelled
-documents. For each sentence of these that names a group, every identity term is swapped for others of its set; the loss
-has a penalty on the squared change of the score between the sentence and its swapped form. Words that only mark a
-group thus lose their weight, and a neutral mention doesn't raise the score, whatever group the toxic examples named.
+documents. For each sentence of these that names a group, every identity term is swapped for others of its set; a sentence
+that names none gets a term put into it. The loss has a penalty on the squared change of the score between the sentence
+and its changed form. Words that only mark a group thus lose their weight, as do beginnings that they share with
+other words, and a neutral mention doesn't raise the score, whatever the toxic examples are about.
 
 The fit takes a bounded sample of labelled rows; each text is scored whole.
 """
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import arrow_map, fold, labelled_sample, texts_of
+from phraseloom.llm.common import arrow_map, fetched, fold, labelled_sample, texts_of
 
 #: Sets of terms that a sentence may swap within.
 IDENTITY_TERMS = (
@@ -51,13 +53,16 @@ def word_ids(text: str) -> np.ndarray:
 
 
 def swaps(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[tuple[list[str], list[str]]]:
-    """For each sentence with an identity term, and each shift within the terms' sets, the words that go and that come."""
+    """For each sentence the words that go and that come: with an identity term, for each of three shifts within the terms' sets; without, one of all terms comes, by a hash of the sentence."""
     place = {w: (own, k) for own in terms for k, w in enumerate(own)}
+    every = [w for own in terms for w in own]
     out = []
     for sentence in _sentence.findall(text.lower()):
         words = _word.findall(sentence)
         named = sorted({w for w in words if w in place})
         if not named:
+            if words and every:
+                out.append(([], [every[zlib.crc32(sentence.encode("utf-8", "replace")) % len(every)]]))
             continue
         for shift in (1, 2, 3):
             come = [place[w][0][(place[w][1] + shift) % len(place[w][0])] for w in named]
@@ -96,7 +101,9 @@ def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, counterfact
     if len(set(labels)) < 2:
         return ToxicityModel({}, base)
     own = [word_ids(t) for t in texts]
-    pairs = [p for t in texts for p in swaps(t, terms)]
+    # the change of a linear score depends on the words that go and come alone, so equal swaps are one with a weight
+    counted = Counter((tuple(gone), tuple(come)) for t in texts for gone, come in swaps(t, terms))
+    pairs, often = list(counted), np.array(list(counted.values()), float)
     vocabulary, counts = np.unique(np.concatenate(own), return_counts=True)
     named = np.unique([i for s in terms for w in s for i in features_of(w)])
     vocabulary = np.union1d(vocabulary[counts >= least_docs], named)
@@ -115,17 +122,17 @@ def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, counterfact
     come_row, come_col = rows_of([crc(b) for _, b in pairs])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels count alike
     w, b = np.zeros(size), 0.0
-    ahead_w, ahead_b, pull = w.copy(), b, counterfactual / max(1, len(pairs))
+    ahead_w, ahead_b, pull = w.copy(), b, counterfactual * often / max(1.0, often.sum())
     # a bound of the curvature: of the loss, and of the penalty, from the longest rows
-    curvature = 0.25 * (np.bincount(col, weights=weight[row], minlength=size).max() * np.bincount(row, minlength=len(y)).max() ** 0.5 + 1) + pull * 16 * (len(pairs) > 0) * max(1, np.bincount(np.concatenate([gone_col, come_col]), minlength=1).max())
+    curvature = 0.25 * (np.bincount(col, weights=weight[row], minlength=size).max() * np.bincount(row, minlength=len(y)).max() ** 0.5 + 1) + 16 * np.bincount(np.concatenate([gone_col, come_col]), weights=np.concatenate([pull[gone_row], pull[come_row]]), minlength=1).max()
     rate = 1 / curvature
     for k in range(rounds):
         z = np.bincount(row, weights=ahead_w[col], minlength=len(y)) + ahead_b
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.bincount(col, weights=slope[row], minlength=size)
         if pairs:
-            change = np.bincount(come_row, weights=ahead_w[come_col], minlength=len(pairs)) - np.bincount(gone_row, weights=ahead_w[gone_col], minlength=len(pairs))
-            grad += 2 * pull * (np.bincount(come_col, weights=change[come_row], minlength=size) - np.bincount(gone_col, weights=change[gone_row], minlength=size))
+            change = pull * (np.bincount(come_row, weights=ahead_w[come_col], minlength=len(pairs)) - np.bincount(gone_row, weights=ahead_w[gone_col], minlength=len(pairs)))
+            grad += 2 * (np.bincount(come_col, weights=change[come_row], minlength=size) - np.bincount(gone_col, weights=change[gone_row], minlength=size))
         new_w = ahead_w - rate * grad
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * sparsity, 0)
         new_b = ahead_b - rate * slope.sum()
@@ -152,9 +159,8 @@ def _shift(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, usable: Column | None = None, label: str = "toxic", **options) -> ToxicityModel:
-    """Train on at most per_class labelled documents of each label, of those labels that ``usable`` allows."""
-    rows = labelled_sample(docs, labels, label, per_class, usable if usable is not None else F.lit(True)).select("doc_id", "text", "label").toArrow().to_pylist()
-    rows.sort(key=lambda r: r["doc_id"])
+    """Train on at most per_class labelled documents of each label (and SAMPLE_BYTES of text), of those labels that ``usable`` allows."""
+    rows = fetched(labelled_sample(docs, labels, label, per_class, usable if usable is not None else F.lit(True)))
     return train([r["text"] or "" for r in rows], [r["label"] for r in rows], **options)
 
 

@@ -64,6 +64,43 @@ def test_index_is_reversible(spark, tmp_path):
     assert {tuple(r) for r in index.apply(docs, digest=True).collect()} == {tuple(r) for r in m.dedup_lines(docs, 10, True).collect()}
 
 
+def test_untouched_shards_keep_their_files(spark, tmp_path):
+    lines = [f"line {k}" for k in range(12)]
+    docs = spark.createDataFrame([(k, "\n".join(lines)) for k in range(10)], "doc_id long, text string")
+    index = m.LineIndex(spark, str(tmp_path / "index"), min_docs=10, shard_keys=2)
+    index.insert(docs)
+    assert index.shards == 6
+    before = {r["shard"]: r["filter"] for r in index.filters.collect()}
+    written = dict(index.written)
+    one = spark.createDataFrame([(0, lines[0])], "doc_id long, text string")
+    index.delete(one)  # that line alone falls under the threshold
+    hi, lo = m.line_hash(lines[0].encode())
+    after = {r["shard"]: r["filter"] for r in index.filters.collect()}
+    assert {s for s in before if before[s] != after[s]} == {lo % 6} == {s for s in written if written[s] != index.written[s]}
+    assert not m.CuckooFilter.unpack(after[lo % 6]).has(np.array([hi]))[0]
+    assert {r["n_dropped"] for r in index.apply(docs, digest=True).collect()} == {11}
+    index.insert(one)
+    assert {r["n_dropped"] for r in index.apply(docs, digest=True).collect()} == {12}
+    many = spark.createDataFrame([(k, "\n".join(f"new {i}" for i in range(400))) for k in range(10, 20)], "doc_id long, text string")
+    index.insert(many)  # more than the filters have room for
+    assert {r["n_dropped"] for r in index.apply(many, digest=True).collect()} == {400}
+    assert not any(m.CuckooFilter.unpack(r["filter"]).full() for r in index.filters.collect())
+
+
+def test_wrongly_passed_lines_stay(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = m.LineIndex(spark, min_docs=10).insert(docs)
+    probe = m.Probe(spark, {0: m.CuckooFilter.unpack(index.filters.first()["filter"]).pack()}, 1)
+    rare = m.line_hash(b"own 3")
+    own = m.CuckooFilter.unpack(probe.held.value[0])
+    own.add(rare[0])
+    wrong = m.Probe(spark, {0: own.pack()}, 1)
+    assert m._passed(index.counts.where("n_docs < 10").select("hi", "lo"), wrong).collect() == [rare]
+    wrong.wrong = frozenset([rare])
+    assert wrong.dropped([rare, m.line_hash(b"common line")]) == {m.line_hash(b"common line")}
+
+
 def test_edges(edges, nothing):
     assert m.dedup_lines(edges, 1).columns == edges.columns
     assert m.dedup_lines(edges, 10, True).count() == edges.count()
