@@ -5,8 +5,8 @@ arrays, proposes tokens. A proposal is the exact encoding if merging by rank wou
 adjacent pair; that depends on the pair alone, so a vectorised check tests all distinct pairs at once and remembers the
 verdicts. Only words with a failing pair go through exact merging, lowest rank first, which runs on all failing words of
 the batch at once as well. Texts are cut at spaces and line ends, which no word crosses; encoded pieces and words are kept in
-stores of two generations for each Python worker: when the younger is full it becomes the older, whose members come back
-when they are met again.
+stores of two generations for each task: when the younger is full it becomes the older, whose members come back when they
+are met again.
 
 Why a pair decides. Each token is the result of a fixed tree of merges, and merges run in the order of their ranks. At
 the time of rank r the symbols at the two sides of a boundary are the nodes on the right edge of the left tree and on
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from phraseloom.llm.common import arrow_map, texts_of
 
-#: Entries of a generation of a worker's store at most, beyond one batch.
-STORE_WORDS = 300_000
+#: Entries of a generation of a store at most, beyond one batch.
+STORE_WORDS = 150_000
 #: A rank beyond all ranks.
 NEVER = 1 << 40
 #: Bytes of a word up to which words are encoded together; longer ones go one by one.
@@ -105,11 +105,15 @@ class Bpe:
         self.cuttable = not any(" " in s or "\n" in s for s in self.specials)
         self._load_merges(model["merges"])
         self._load_trie()
-        self.verdicts: dict[int, bool] = {}
         self.known: set[str] = set()  # characters met before that this Python's Unicode version has
+        self.forget()
+        self.seen, self.failed = 0, 0  # words proposed, and those of them that had to be merged
+
+    def forget(self) -> None:
+        """Empty the stores."""
+        self.verdicts: dict[int, bool] = {}
         self.store: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of pieces of text: younger, older
         self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.seen, self.failed = 0, 0  # words proposed, and those of them that had to be merged
 
     def _load_merges(self, merges: list) -> None:
         size = max(self.ids.values()) + 1
@@ -454,7 +458,7 @@ def encode_table(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_toke
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[make[o]() for o in outputs]], names=["doc_id", *outputs])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs))
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs), after=lambda: load(path).forget())
 
 
 def decode_table(encoded: DataFrame, path: str) -> DataFrame:

@@ -71,10 +71,11 @@ def importable(spark: SparkSession) -> None:
         held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH", "")]))
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow by batches of a bounded number of rows, and in parts of about BATCH_BYTES where rows are long.
 
-    Spark reads the number of rows from the session when the query runs, so it is set there and stays.
+    Spark reads the number of rows from the session when the query runs, so it is set there and stays. after is called at
+    the end of each task, to give back what the worker, which goes on to other tasks, holds.
     """
     importable(df.sparkSession)
     conf = df.sparkSession.conf
@@ -86,6 +87,8 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)) if batch.nbytes > BATCH_BYTES else batch.num_rows
             for k in range(0, batch.num_rows, max(1, rows)):
                 yield function(batch.slice(k, rows))
+        if after is not None:
+            after()
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ Few documents hold anything of a benchmark, so a cheap look finds those that can
 stretch of words that no placeholder can stand for (firm words), and any seven words in a row of a document hold four that
 start at a multiple of four. The hashes of a document's words by fours, from every fourth, second or each place as the shortest
 stretch asks for, are joined with those of the stretches. Where a window's stretches are all shorter than four, a document
-has to have two words of each stretch (or all single words). Only documents that meet a window like this are searched window by
+has to have each two words in a row of all its stretches (or all single words). Only documents that meet a window like this are searched window by
 window. Nothing is lost by that: with a window without firm words all documents are searched.
 
 Everything is DataFrame operations. Benchmark windows are broadcast only below a checked number of bytes; beyond it the same
@@ -169,12 +169,11 @@ def _pairs(words: Column | str, distance: int) -> Column:
     return F.zip_with(words, F.slice(words, distance + 1, F.greatest(F.lit(0), F.size(words) - distance)), lambda x, y: F.xxhash64(x, y))
 
 
-def _blocks(words: Column | str, size: int, stride: int = 1) -> Column:
-    """The hashes of 4, 2 or 1 words in a row, from every stride-th place."""
+def _blocks(words: Column | str, size: int) -> Column:
+    """The hashes of 4, 2 or 1 words in a row, from each place."""
     if size == 1:
         return F.transform(words, lambda x: F.xxhash64(x))
-    every = _pairs(words, 1) if size == 2 else _pairs(_pairs(words, 1), 2)
-    return every if stride == 1 else F.filter(every, lambda x, i: i % stride == 0)
+    return _pairs(words, 1) if size == 2 else _pairs(_pairs(words, 1), 2)
 
 
 def _heaviest(words: Column | str, length: int) -> Column:
@@ -212,7 +211,7 @@ def anchors(cut: DataFrame, min_windows: int) -> tuple[DataFrame, dict[int, int]
             found.append(kept.where("size = 4").select(_heaviest("words", 3 + step).alias("stretch")).select(F.explode(blocks).alias("block")).select("block", F.col("block").alias("window"), F.lit(1).alias("need")))
         elif k:
             long = F.filter("runs", lambda r: F.size(r) >= k)  # noqa: B023
-            of = F.flatten(F.transform(long, lambda r: F.slice(_blocks(_heaviest(r, 2), 2), 1, 1))) if k == 2 else F.transform(F.flatten(long), lambda x: F.xxhash64(x))
+            of = F.flatten(F.transform(long, lambda r: F.slice(_blocks(r, 2), 1, F.size(r) - 1))) if k == 2 else F.transform(F.flatten(long), lambda x: F.xxhash64(x))
             both = kept.where(F.col("size") == k).select(F.xxhash64("item_id", "at").alias("window"), F.array_distinct(of).alias("blocks"))
             found.append(both.select(F.explode("blocks").alias("block"), "window", F.size("blocks").alias("need")))
     return stored(reduce(DataFrame.unionByName, found).distinct(), "benchmark-anchors"), sizes
@@ -225,7 +224,11 @@ def _candidates(keyed: DataFrame, found: DataFrame, sizes: dict[int, int]) -> Da
     if not sizes:
         return keyed.where(F.lit(False))
     words = keyed.select("doc_id", "h", _finer(F.coalesce("text", F.lit(""))).alias("words"))
-    blocks = words.select("doc_id", "h", F.explode(F.concat(*[_blocks("words", k, stride) for k, stride in sorted(sizes.items())])).alias("block"))
+    words = words.select("doc_id", "h", "words", _blocks("words", 2).alias("twos"))  # a column, so that fours come from it too
+    stride = sizes.get(4, 1)
+    fours = _pairs("twos", 2) if stride == 1 else F.filter(_pairs("twos", 2), lambda x, i: i % stride == 0)
+    every = {1: _blocks("words", 1), 2: F.col("twos"), 4: fours}
+    blocks = words.select("doc_id", "h", F.explode(F.concat(*[every[k] for k in sorted(sizes)])).alias("block"))
     met = blocks.join(bounded_broadcast(found), "block").groupBy(F.col("doc_id").alias("met_id"), F.col("h").alias("met_h"), "window", "need").agg(F.count_distinct("block").alias("n"))
     hit = stored(met.where("n >= need").select("met_id", "met_h").distinct(), "benchmark-candidates")
     same = keyed["doc_id"].eqNullSafe(F.col("met_id")) & (keyed["h"] == F.col("met_h"))
