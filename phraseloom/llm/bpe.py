@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from phraseloom.llm.common import arrow_map, texts_of
 
 #: Entries of a generation of a store at most, beyond one batch.
-STORE_WORDS = 150_000
+STORE_WORDS = 80_000
+#: Texts that are cut into pieces at once.
+TEXTS = 100
 #: A rank beyond all ranks.
 NEVER = 1 << 40
 #: Bytes of a word up to which words are encoded together; longer ones go one by one.
@@ -445,7 +447,8 @@ def encode_table(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_toke
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe, texts = load(path), texts_of(batch)
         first = {t: k for k, t in reversed(list(enumerate(texts)))}  # equal texts are encoded once
-        made = dict(zip(first, bpe.encode_batch(list(first)), strict=True))
+        distinct = list(first)
+        made = {t: ids for k in range(0, len(distinct), TEXTS) for t, ids in zip(distinct[k : k + TEXTS], bpe.encode_batch(distinct[k : k + TEXTS]), strict=True)}
         found = [made[t] for t in texts]
         decoded = [bpe.decode_raw(i) for i in found] if any(o.startswith("decoded") for o in outputs) else []
         make = {

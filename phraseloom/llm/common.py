@@ -12,6 +12,8 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,7 +28,7 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A word, as a pattern for Python and for Java.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch at most, and the bytes of a batch beyond which it is worked on in parts.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,13 @@ def importable(spark: SparkSession) -> None:
         held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH", "")]))
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine: a worker lives on between tasks, and its memory counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow by batches of a bounded number of rows, and in parts of about BATCH_BYTES where rows are long.
 
@@ -87,8 +96,10 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)) if batch.nbytes > BATCH_BYTES else batch.num_rows
             for k in range(0, batch.num_rows, max(1, rows)):
                 yield function(batch.slice(k, rows))
+            _give_back()
         if after is not None:
             after()
+            _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -108,3 +108,42 @@ def test_similar_documents_equal_brute_force(spark):
     assert len(set(want.values())) < len(texts) - 8
     assert {r["doc_id"]: r["component_id"] for r in m.similar_documents(docs).collect()} == want
     assert {r["doc_id"] for r in m.drop_near_duplicates(docs).collect()} == set(want.values())
+
+
+def plain_similar(texts, fps, alike):
+    """{number: smallest number reachable} over pairs that alike() or the fingerprints link."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in range(len(texts))}
+
+
+def test_a_crowd_of_near_copies_by_cosine(spark):
+    """Copies of one text, more than a bucket compares outright, of which some are like the text and some only like those."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = [base]
+    for _ in range(50):
+        copy = list(base)
+        for _ in range(draw.randint(1, 9)):
+            copy[draw.randrange(len(copy))] = word()
+        texts.append(copy)
+    texts += [[word() for _ in range(100)] for _ in range(20)]
+    sets = [{" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    fps = [m.fingerprint(" ".join(t), 5) for t in texts]
+    want = plain_similar(sets, fps, lambda a, b: len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5)
+    docs = spark.createDataFrame([(k, " ".join(t), 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, other_id int, lost_id int")
+    found = {r["doc_id"]: r["component_id"] for r in m.similar_documents(docs, m.Similar(measure="cosine")).collect()}
+    linked = lambda by: {(a, b) for a in by for b in by if a < b and by[a] == by[b]}
+    assert linked(found) <= linked(want) and len(linked(found)) >= 0.95 * len(linked(want))
+    assert m.drop_near_duplicates(docs).columns == docs.columns
