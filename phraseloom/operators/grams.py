@@ -26,7 +26,7 @@ def doc_stats(tokens: DataFrame) -> DataFrame:
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(token, df, cf): document and corpus frequency.
 
-    A document's tokens are counted within its row first, so one shuffle of (token, count) partial sums gives both.
+    Two shuffles: one counts each token within its document, the other, of those counts, sums over documents.
     """
     within = tokens.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return within.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
@@ -45,7 +45,7 @@ def gram_rows(tokens: DataFrame, n: int) -> DataFrame:
 def support(tokens: DataFrame, n: int, min_docs: int = 1) -> DataFrame:
     """(gram, df, occ) of the n-grams in at least min_docs documents.
 
-    A document's grams are made distinct, with their counts, before the shuffle by gram.
+    Two shuffles: one counts each gram within its document, the other sums over documents.
     """
     rows = gram_rows(tokens, n)
     per_doc = rows.groupBy("gram", "doc_id").agg(F.count("*").alias("n"))

@@ -249,11 +249,9 @@ def _frequent_all(unit: str, longest: int) -> str:
 
 def _reduced_sql(rule: str, unit: str = "df") -> str:
     same = f"AND b.{unit} = a.{unit}" if rule.endswith("closed") else ""
-    sides = ["starts_with(b.phrase, a.phrase || ' ')"] + ([] if rule.startswith("right_") else ["ends_with(b.phrase, ' ' || a.phrase)"])
     # the one-token extension is found by cutting it, so that the join is by equality
     cuts = [r"regexp_replace(phrase, ' [^ ]*$', '')"] + ([] if rule.startswith("right_") else [r"regexp_replace(phrase, '^[^ ]* ', '')"])
     gone = " AND ".join(f"NOT EXISTS (SELECT 1 FROM (SELECT {c} AS cut, length, df, occ FROM a) b WHERE b.cut = a.phrase AND b.length = a.length + 1 {same})" for c in cuts)
-    assert len(sides) == len(cuts)
     return f"{_frequent_all(unit, LONG + 1)} SELECT phrase, length, df, occ FROM a WHERE length <= {LONG} AND {gone}"
 
 
