@@ -15,11 +15,8 @@ from phraseloom.sources import exchange, synthetic
 N, MIN_DOCS = 4, 3
 #: Bounded phrases: least and greatest length, support.
 SHORT, LONG, BOUNDED_DOCS = 3, 6, 5
-#: Closed phrases by occurrences: in a run of one repeated word each step is such a phrase, and a round. The support is
-#: this percentage of the number of documents, which few runs reach.
-CLOSED_LENGTH, CLOSED_PERCENT = 3, 64
-#: The same miner at its own default support, whatever the number of documents; no SQL, since rounds follow the runs.
-CLOSED_LEAST = 10
+#: Closed phrases by occurrences: least length, and the miner's own default support, whatever the number of documents.
+CLOSED_LENGTH, CLOSED_LEAST = 3, 10
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +182,6 @@ def phrases_default(spark, sf_dir):
 
 
 def phrases_closed(spark, sf_dir):
-    own = _stored_tokens(spark, sf_dir)
-    least = max(3, own.count() * CLOSED_PERCENT // 100)
-    return miners.mine_closed(own, miners.Params(least, CLOSED_LENGTH)).select("phrase", "freq", "df", "length")
-
-
-def phrases_closed_frequent(spark, sf_dir):
     return miners.mine_closed(_stored_tokens(spark, sf_dir), miners.Params(CLOSED_LEAST, CLOSED_LENGTH)).select("phrase", "freq", "df", "length")
 
 
@@ -213,7 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokens, doc_stats, vocab_df, vocab_frequent, ngram_support, seeds, seed_topk, prefilter_equivalence, next_token_support, prev_token_support, best_next_token,
         right_closed, left_closed, all_frequent_bounded, gapped_pairs, gapped_patterns, spmf_export, spmf_import, result_format, result_filter, pareto_score, tree_parent,
         tree_level, top_ancestors, tree_display, hash_sample, mining_stats, coverage_ratio, document_repeats, phrases_left_closed, phrases_default, phrases_closed,
-        phrases_closed_frequent, phrases_right_closed, source_table, synthetic_recall,
+        phrases_right_closed, source_table, synthetic_recall,
     )
     return {f.__name__: f for f in plain} | {
         "closed_occ_bounded": _bounded("closed", "occurrences"),
@@ -373,9 +364,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT gram AS phrase, df AS freq, n::BIGINT AS length FROM a WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_replace(gram, ' [^ ]*$', '') AS cut, n, df FROM a) b
             WHERE b.cut = a.gram AND b.n = a.n + 1 AND b.df = a.df)""",
         "phrases_closed": f"""WITH RECURSIVE {TOK}, {_g(CLOSED_LENGTH)},
-          e AS (SELECT doc_id, pos, gram, {CLOSED_LENGTH} AS n FROM g WHERE gram IN (SELECT gram FROM g GROUP BY gram HAVING count(*) >= (SELECT greatest(3, count(*) * {CLOSED_PERCENT} // 100) FROM documents))
+          e AS (SELECT doc_id, pos, gram, {CLOSED_LENGTH} AS n FROM g WHERE gram IN (SELECT gram FROM g GROUP BY gram HAVING count(*) >= {CLOSED_LEAST})
             UNION ALL SELECT doc_id, pos, gram, n FROM (SELECT doc_id, pos, gram, n, count(*) OVER (PARTITION BY gram) AS occ FROM (
-              SELECT e.doc_id, e.pos, e.gram || ' ' || p.token AS gram, e.n + 1 AS n FROM e JOIN p ON p.doc_id = e.doc_id AND p.pos = e.pos + e.n)) WHERE occ >= (SELECT greatest(3, count(*) * {CLOSED_PERCENT} // 100) FROM documents)),
+              SELECT e.doc_id, e.pos, e.gram || ' ' || p.token AS gram, e.n + 1 AS n FROM e JOIN p ON p.doc_id = e.doc_id AND p.pos = e.pos + e.n)) WHERE occ >= {CLOSED_LEAST}),
           b AS (SELECT e.*, x.token AS prev, y.token AS next FROM e LEFT JOIN p x ON x.doc_id = e.doc_id AND x.pos = e.pos - 1 LEFT JOIN p y ON y.doc_id = e.doc_id AND y.pos = e.pos + e.n)
           SELECT gram AS phrase, count(*) AS freq, count(DISTINCT doc_id) AS df, max(n)::BIGINT AS length FROM b GROUP BY gram
           HAVING NOT coalesce(count(prev) = count(*) AND min(prev) = max(prev), false) AND NOT coalesce(count(next) = count(*) AND min(next) = max(next), false)""",
