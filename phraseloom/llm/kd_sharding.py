@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import discard, stored
+from phraseloom.llm.common import discard, free_name, stored
 
 #: Bits of the position that one pass resolves; a position has 12 bits of the coordinate and 24 of the hash.
 BITS, COORDINATE_BITS, HASH_BITS = 12, 12, 24
@@ -56,29 +56,25 @@ def _position(coordinate: Column, spread: Column) -> Column:
 
 
 def _cut(light: DataFrame, wanted: dict[int, float]) -> dict[int, int]:
-    """For each node the position up to which its light groups weigh as near to the wanted bytes as can be: columns node, position, w."""
-    prefix = dict.fromkeys(wanted, 0)
-    left = dict(wanted)
+    """For each node the position up to which its light groups weigh as near to the wanted bytes as can be: columns node, position, w.
+
+    A pass sums bytes by the next BITS bits and finds in Spark where the running sum passes what is wanted; a row for each node
+    comes to the driver.
+    """
+    prefix, left = dict.fromkeys(wanted, 0), dict(wanted)
+    running = Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most 2^BITS rows
     for shift in range(POSITION_BITS - BITS, -1, -BITS):
-        inside = F.lit(False)
-        for n, p in prefix.items():
-            inside = inside | ((F.col("node") == n) & (F.shiftright("position", shift + BITS) == p))
-        sums = light.where(inside).groupBy("node", F.shiftright("position", shift).alias("b")).agg(F.sum("w").alias("w")).collect()
-        by: dict[int, list] = {}
-        for r in sums:
-            by.setdefault(r["node"], []).append((r["b"], r["w"]))
+        # a row for each node
+        asked = light.sparkSession.createDataFrame([(n, p, float(left[n])) for n, p in prefix.items()], "node int, prefix long, left double")
+        inside = light.join(F.broadcast(asked), "node").where(F.shiftright("position", shift + BITS) == F.col("prefix"))
+        sums = inside.groupBy("node", F.shiftright("position", shift).alias("b")).agg(F.sum("w").alias("w"), F.first("left").alias("left"))
+        passed = sums.withColumn("upto", F.sum("w").over(running)).where(F.col("upto") > F.col("left"))
+        found = {r["node"]: r for r in passed.groupBy("node").agg(F.min(F.struct("b", (F.col("upto") - F.col("w")).alias("below"))).alias("at")).select("node", "at.b", "at.below").collect()}
         for n in prefix:
-            below, at = 0, (prefix[n] << BITS) - 1
-            for b, w in sorted(by.get(n, [])):
-                if below + w > left[n]:
-                    at = b
-                    break
-                below, at = below + w, b
-            else:
-                # all of it is wanted: the last bucket, and nothing of what follows
+            if n in found:
+                prefix[n], left[n] = found[n]["b"], left[n] - found[n]["below"]
+            else:  # all of it is wanted: the last bucket, and nothing of what follows
                 prefix[n], left[n] = (prefix[n] << BITS) + (1 << BITS) - 1, float("inf")
-                continue
-            prefix[n], left[n] = at, left[n] - below
     return {n: p if left[n] == float("inf") else p - 1 for n, p in prefix.items()}
 
 
@@ -117,7 +113,10 @@ def assign(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | Non
     """(doc_id, size, text_crc32, shard): every row of docs in one of the shards.
 
     size is the UTF-8 bytes of the text (0 if null) plus 1. Null and empty texts are one group. An empty table gives an
-    empty result; with fewer groups than shards some shards stay empty.
+    empty result; with fewer groups than shards some shards stay empty. Rows with the same id and text (null ids count as one id)
+    can't be told apart and stay together, also where that makes a shard larger.
+
+    What the driver holds are numbers: a row for each node, and at most HEAVY groups for each shard.
     """
     spark = docs.sparkSession
     dims = dimensions or default_dimensions(docs.columns)
@@ -138,16 +137,13 @@ def assign(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | Non
     total = whole.agg(F.sum("w")).first()[0] or 0
     share = total / shards
     # at most as many groups as shards can weigh more than a shard
-    parts = {(r["h"], r["text_crc32"]): int(-(-r["w"] * 2 * HEAVY // max(1, share))) for r in whole.where(F.col("w") > share).select("h", "text_crc32", "w").collect()}
-    part = F.lit(0)
-    for (h, crc), n in parts.items():
-        part = F.when((F.col("h") == h) & (F.col("text_crc32") == crc), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).otherwise(part)
-    base = base.withColumn("part", part)
-    if parts:
-        groups = stored(base.groupBy(*key).agg(F.sum("size").alias("w"), *[F.min(f"d_{n}").alias(f"d_{n}") for n in dims]), "shard-groups")
-        discard(whole)
-    else:
+    over = whole.where(F.col("w") > share).select("h", "text_crc32", F.ceil(F.col("w") * 2 * HEAVY / F.lit(max(1.0, share))).alias("cuts"))
+    base = base.join(F.broadcast(over), ["h", "text_crc32"], "left")
+    base = base.withColumn("part", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("cuts"))).cast("int")).drop("cuts")
+    if over.isEmpty():
         groups = whole.withColumn("part", F.lit(0))
+    else:
+        groups = stored(base.groupBy(*key).agg(F.sum("size").alias("w"), *[F.min(f"d_{n}").alias(f"d_{n}") for n in dims]), "shard-groups")
     heavy_from = share / HEAVY
     # at most HEAVY * shards groups weigh that much
     heavy = [r.asDict() | {"dims": {n: r[f"d_{n}"] for n in dims}} for r in groups.where(F.col("w") > heavy_from).collect()] if total else []
@@ -170,15 +166,15 @@ def assign(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | Non
         if not open_nodes:
             break
         # one pass for the spread of every open node: a row for each node
-        numbers = [n.number for n in open_nodes]
-        spans = {r["node"]: r for r in where.where(F.col("node").isin(numbers)).groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(f"d_{n}") - F.min(f"d_{n}")).alias(f"s_{n}") for n in dims]).collect()}
+        asked = spark.createDataFrame([(n.number,) for n in open_nodes], "node int")
+        spans = {r["node"]: r for r in where.join(F.broadcast(asked), "node").groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(f"d_{n}") - F.min(f"d_{n}")).alias(f"s_{n}") for n in dims]).collect()}
         weights = {n.number: float(spans[n.number]["w"]) if n.number in spans else 0.0 for n in open_nodes}
         widest = {n.number: max(dims, key=lambda d: (spans[n.number][f"s_{d}"] or 0.0) if n.number in spans else 0.0) for n in open_nodes}
         sides = {n.number: _best(n, widest[n.number], weights) for n in open_nodes}
-        coordinate = F.lit(None).cast("double")
-        for n, d in widest.items():
-            coordinate = F.when(F.col("node") == n, F.col(f"d_{d}")).otherwise(coordinate)
-        at = where.where(F.col("node").isin(numbers)).withColumn("position", _position(coordinate, spread))
+        # a row for each node at most, here and below
+        split = spark.createDataFrame([(n, list(dims).index(d)) for n, d in widest.items()], "node int, along int")
+        coordinate = F.get(F.array(*[F.col(f"d_{n}") for n in dims]), F.col("along"))
+        at = where.join(F.broadcast(split), "node").withColumn("position", _position(coordinate, spread))
         cuts = _cut(at, {n: s[2] for n, s in sides.items()})
         below = []
         for n in open_nodes:
@@ -186,19 +182,21 @@ def assign(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | Non
             below += [Node((n.shards[0], n.shards[0] + half), number + 1, sides[n.number][0]), Node((n.shards[0] + half, n.shards[1]), number + 2, sides[n.number][1])]
             cuts[n.number] = (cuts[n.number], number + 1, number + 2)
             number += 2
-        moves = spark.createDataFrame([(n, c[0], c[1], c[2]) for n, c in cuts.items()], "node int, cut long, low int, high int")
-        # a row for each node at most; nodes that are shards already keep their number
-        moved = where.withColumn("position", _position(coordinate, spread)).join(F.broadcast(moves), "node", "left")
+        moves = spark.createDataFrame([(n, list(dims).index(widest[n]), *c) for n, c in cuts.items()], "node int, along int, cut long, low int, high int")
+        # nodes that are shards already keep their number
+        moved = where.join(F.broadcast(moves), "node", "left").withColumn("position", _position(coordinate, spread))
         new = F.when(F.col("cut").isNull(), F.col("node")).when(F.col("position") <= F.col("cut"), F.col("low")).otherwise(F.col("high"))
-        where = moved.select(*[c for c in where.columns if c != "node"], new.alias("node"))
-        if number > 6 and shards > 8:
-            where = stored(where, "shard-nodes")
+        after = stored(moved.select(*[c for c in where.columns if c != "node"], new.alias("node")), "shard-nodes")
+        discard(where)
+        where = after
         nodes = below
     names = spark.createDataFrame(list(final.items()) or [(0, 0)], "node int, shard int")
     assigned = where.join(F.broadcast(names), "node").select(*key, "shard")
-    if placed:
-        assigned = assigned.unionByName(spark.createDataFrame([tuple(p[k] for k in (*key, "shard")) for p in placed], "h long, text_crc32 long, part int, shard int"))
-    return base.join(assigned, key).select("doc_id", "size", "text_crc32", "shard")
+    # rows of heavy groups find their shard without a shuffle, so no task gets more than 1/HEAVY of a shard of one group
+    hot = spark.createDataFrame([tuple(p[k] for k in (*key, "shard")) for p in placed], "h long, text_crc32 long, part int, hot int")
+    split = base.join(F.broadcast(hot), key, "left")
+    light_rows = split.where(F.col("hot").isNull()).drop("hot").join(assigned, key)
+    return split.where(F.col("hot").isNotNull()).withColumnRenamed("hot", "shard").select(own := ["doc_id", "size", "text_crc32", "shard"]).unionByName(light_rows.select(own))
 
 
 def _best(node: Node, name: str, weights: dict[int, float]) -> tuple[list[dict], list[dict], float]:
@@ -235,12 +233,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, dimensions: dict[str, Colum
 def write_shards(docs: DataFrame, path: str, target_bytes: int = 256 << 20, dimensions: dict[str, Column] | None = None) -> int:
     """Write docs as one folder for each shard, with as many shards as target_bytes asks for; returns their number.
 
-    Rows are matched to shards by id and text, so a row that repeats exactly is written once for each of its rows.
+    The folders are named by a column ``shard``, or ``shard_1`` and so on where docs has a column of that name. Rows are
+    matched to shards by id and text, so a row that repeats exactly is written once for each of its rows.
     """
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
     shards = max(1, -(-total // target_bytes))
-    text = F.coalesce("text", F.lit(""))
-    found = assign(docs, shards, dimensions).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard").distinct()
-    same = docs["doc_id"].eqNullSafe(found["_id"]) & ((F.octet_length(text) + 1) == found["_size"]) & (F.crc32(text) == found["_crc"])
-    docs.join(found, same).drop("_id", "_size", "_crc").write.partitionBy("shard").parquet(path)
+    text, taken = F.coalesce("text", F.lit("")), list(docs.columns)
+    name = {}
+    for wanted in ("shard", "other_id", "other_size", "other_crc"):
+        name[wanted] = free_name(taken, wanted)
+        taken.append(name[wanted])
+    found = assign(docs, shards, dimensions).distinct().toDF(name["other_id"], name["other_size"], name["other_crc"], name["shard"])
+    same = F.col("doc_id").eqNullSafe(F.col(name["other_id"])) & ((F.octet_length(text) + 1) == F.col(name["other_size"])) & (F.crc32(text) == F.col(name["other_crc"]))
+    docs.join(found, same).drop(name["other_id"], name["other_size"], name["other_crc"]).write.partitionBy(name["shard"]).parquet(path)
     return shards

@@ -145,3 +145,22 @@ def test_shards(spark, edges, nothing):
 def test_written_shards(spark, tmp_path, edges):
     n = kd_sharding.write_shards(edges.drop("fp", "h"), str(tmp_path / "s"), target_bytes=50_000)
     assert n >= 2 and spark.read.parquet(str(tmp_path / "s")).count() == edges.count()
+
+
+def test_many_shards(spark):
+    """500 shards: near equal bytes, copies together, columns of any name when written."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat(concat('w', cast(id % 7000 AS string), ' '), cast(1 + id % 13 AS int)) AS text", "cast(id % 3 AS string) AS lang", "'s' AS source")
+    rows = kd_sharding.assign(docs, 500).collect()
+    assert len(rows) == 20_000 and len({r["doc_id"] for r in rows}) == 20_000
+    total, where = [0] * 500, {}
+    for r in rows:
+        total[r["shard"]] += r["size"]
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert max(total) <= 1.5 * sum(total) / 500 and all(len(w) == 1 for w in where.values())
+
+
+def test_written_shards_of_a_table_with_a_shard(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k} " * 9, "mine", 1) for k in range(40)], "doc_id long, text string, shard string, other_id int")
+    assert kd_sharding.write_shards(docs, str(tmp_path / "t"), target_bytes=900) > 1
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert set(read.columns) == {*docs.columns, "shard_1"} and sorted(map(tuple, read.drop("shard_1").collect())) == sorted(map(tuple, docs.collect()))
