@@ -42,10 +42,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from phraseloom.llm.url_filter import Rule, judge, labelled_table, train
+    from phraseloom.llm.url_filter import Rule, judge, labelled_table, out_of_fold, threshold_of, train
 
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-    return judge(table(spark, sf_dir, "pages"), rules, train(labelled_table(spark)))
+    labelled = labelled_table(spark)
+    return judge(table(spark, sf_dir, "pages"), rules, train(labelled), threshold_of(out_of_fold(labelled)))
 
 
 def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:

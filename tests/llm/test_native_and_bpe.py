@@ -78,7 +78,7 @@ def plain_rule(url):
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?y#z", "x://example.org/en/12", "x://example.org/en/2", "x://notorg/", "x://org", "x://org/", "x://a.com/fr/1", "x://com/de/", "x://host?q/es/", "x://h#/", "a://b://c/d", "x://ünï.com/FR/"]
-    urls += [u for u, _ in url_filter.LABELLED]
+    urls += [u for u, *_ in url_filter.LABELLED]
     pages = spark.createDataFrame([(k, u, "h", "p") for k, u in enumerate(urls)], "page_id long, url string, host string, path string")
     model = url_filter.train(url_filter.labelled_table(spark))
     found = {r["page_id"]: r for r in url_filter.judge(pages, RULES, model).collect()}
@@ -86,7 +86,7 @@ def test_urls(spark):
         host, path, rule = plain_rule(url)
         assert (found[k]["host"], found[k]["path"], found[k]["rule"]) == (host, path, rule.name if rule else None)
         assert found[k]["verdict"] == (rule.verdict if rule else "block" if found[k]["block_score"] >= 0.5 else "allow")
-    own = [(found[len(urls) - len(url_filter.LABELLED) + k]["block_score"] >= 0.5) == bool(y) for k, (_, y) in enumerate(url_filter.LABELLED)]
+    own = [(found[len(urls) - len(url_filter.LABELLED) + k]["block_score"] >= 0.5) == bool(y) for k, (_, y, _) in enumerate(url_filter.LABELLED)]
     assert sum(own) == len(own)
     fresh = spark.createDataFrame([(0, "http://super-casino.example.com/en/3"), (1, "http://pills-direct.example.net/a"), (2, "http://riverside.example.net/fr/9")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter.judge(fresh, [], model).orderBy("page_id").collect()] == ["block", "block", "allow"]
@@ -164,3 +164,17 @@ def test_written_shards_of_a_table_with_a_shard(spark, tmp_path):
     assert kd_sharding.write_shards(docs, str(tmp_path / "t"), target_bytes=900) > 1
     read = spark.read.parquet(str(tmp_path / "t"))
     assert set(read.columns) == {*docs.columns, "shard_1"} and sorted(map(tuple, read.drop("shard_1").collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_url_threshold(spark):
+    """Urls to allow stay, of words seen and unseen; of words seen most urls to block are found."""
+    labelled = url_filter.labelled_table(spark)
+    scores = url_filter.out_of_fold(labelled).collect()
+    limit = url_filter.threshold_of(spark.createDataFrame(scores))
+    assert len(scores) == labelled.count() and limit >= 0.5
+    assert sum(r["block_score"] >= limit for r in scores if r["label"] == 0) <= 0.03 * sum(r["label"] == 0 for r in scores)
+    hosts = [f"http://{a}{b}.example.com/x/{k}" for k, (a, b) in enumerate([("casino", "-king"), ("the-", "casino"), ("poker", "land"), ("museum", "-shop"), ("old-", "library"), ("qumbo", "rest")])]
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    verdicts = [r["verdict"] for r in url_filter.judge(pages, [], url_filter.train(labelled), limit).orderBy("page_id").collect()]
+    assert verdicts[3:] == ["allow"] * 3 and "block" in verdicts[:3]
+    assert url_filter.threshold_of(spark.createDataFrame(scores).limit(0)) == 0.5
