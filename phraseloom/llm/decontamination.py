@@ -263,11 +263,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Rule | None = None) ->
     slot = F.when(F.col("s.n"), F.lit("<p>")).otherwise(F.col("s.t")).alias("kind")
     slots_of = lambda df, side, *keys: with_words(df, *keys).select(*keys, F.posexplode("w").alias("place", "s")).where("s.t <> s.v OR s.n").select(*keys, "place", slot, F.col("s.v").alias(f"{side}_value"), F.col("s.n").alias(f"{side}_open")).distinct()
     doc_slots = slots_of(again, "doc", "doc_id", "h").withColumn("id_key", F.struct("doc_id")).drop("doc_id")
-    item_slots = slots_of(benchmark, "item", "item_id")
-    covered = hits.select("doc_id", "h", "item_id", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("place")).distinct()
-    met = covered.join(item_slots, ["item_id", "place"]).withColumn("place", F.col("place") + F.col("shift")).withColumn("id_key", F.struct("doc_id"))
+    item_slots = bounded_broadcast(stored(slots_of(benchmark, "item", "item_id"), "item-slots"))
+    covered = hits.select("doc_id", "h", "item_id", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("place"))
+    # most places are plain words, which the join leaves out before anything is shuffled
+    met = covered.join(item_slots, ["item_id", "place"]).distinct().withColumn("place", F.col("place") + F.col("shift")).withColumn("id_key", F.struct("doc_id"))
     along = ["id_key", "h", "item_id", "shift"]
-    both = met.join(doc_slots, ["id_key", "h", "place", "kind"])
+    both = stored(met.join(doc_slots, ["id_key", "h", "place", "kind"]), "slots-met")
     differ = lambda c, *by: F.min(c).over(Window.partitionBy(*along, "kind", *by)) < F.max(c).over(Window.partitionBy(*along, "kind", *by))
     clash = (F.col("item_value") != F.col("doc_value")) & (differ("doc_value", "item_value") | ((F.col("kind") == "<p>") & differ("item_value", "doc_value")))
     judged = both.withColumn("clash", clash)
