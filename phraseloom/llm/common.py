@@ -137,19 +137,19 @@ def fetched(rows: DataFrame, limit: int = SAMPLE_BYTES) -> list[dict]:
     return sorted(out, key=lambda r: (r["doc_id"], str(r["label"])))
 
 
+def labelled_ids(labels: DataFrame, column: str, usable: Column) -> DataFrame:
+    """(doc_id, label) of all ids with label 0 or 1; those with both, or with null, are left out."""
+    own = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & usable)
+    return own.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("most")).where("label = most").select("doc_id", "label")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, usable: Column) -> DataFrame:
     """(doc_id, text, label) of at most per_class documents of each label 0 and 1, by the order of a hash of the id.
 
     Ids with a null label, or with both labels, are left out. The ids are found on the narrow label table; only their
     texts are read.
     """
-    own = (
-        labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & usable)
-        .groupBy("doc_id")
-        .agg(F.min(column).alias("label"), F.max(column).alias("most"))
-        .where("label = most")
-        .select("doc_id", "label")
-    )
+    own = labelled_ids(labels, column, usable)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [own.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])

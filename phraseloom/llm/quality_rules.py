@@ -6,7 +6,7 @@ document that ends on short paths is unlike them. The threshold comes from label
 on (half of the good ones, all bad ones): of all thresholds at which at most ``clean_loss`` of these good documents would go,
 the one that separates good from bad best. Without labelled rows of both kinds the forest rejects nothing.
 
-The forest is fitted on at most ``per_class`` labelled documents of each label; statistics are of whole texts.
+Statistics are of whole texts and of all labelled documents; each tree draws its rows from all of the good half.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phraseloom.llm.common import WORD, arrow_map, labelled_sample, texts_of
+from phraseloom.llm.common import BROADCAST_BYTES, FIXED_WIDTH, WORD, arrow_map, labelled_ids, stored, texts_of
 
 _word = re.compile(WORD)
 #: Fixed values of the rules.
@@ -148,8 +148,8 @@ class QualityModel:
     def _calibrate(good: np.ndarray, bad: np.ndarray, clean_loss: float) -> float:
         cuts = np.unique(np.concatenate([good, bad]))
         cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-        lost = (good[None, :] >= cuts[:, None]).mean(1)
-        caught = (bad[None, :] >= cuts[:, None]).mean(1)
+        beyond = lambda x: (len(x) - np.searchsorted(np.sort(x), cuts, "left")) / len(x)
+        lost, caught = beyond(good), beyond(bad)
         worth = np.where(lost <= clean_loss, caught - lost, -1)
         return float(cuts[int(worth.argmax())]) if worth.max() > 0 else 2.0
 
@@ -160,18 +160,26 @@ class QualityModel:
         return scores >= self.threshold if self.forest is not None else np.zeros(len(scores), bool)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, clean_loss: float = 0.01) -> QualityModel:
-    """Fit on the statistics of at most 2 * per_class labelled documents; only their numbers come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, clean_loss: float = 0.01) -> QualityModel:
+    """Fit on the statistics of all labelled documents; only their numbers, some 90 bytes a document, come to the driver.
+
+    Texts aren't shuffled: where the labels are too many to be broadcast, statistics of all documents meet them. Of rows that repeat an id one counts.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = [statistics(t) for t in texts_of(batch)]
         usable = pa.array([not base_failed(b) for b, _ in both])
-        return pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), usable, pa.array([v for _, v in both], pa.list_(pa.float64()))], names=["label", "usable", "vector"])
-
-    rows = arrow_map(labelled_sample(docs, labels, "quality", per_class, F.lit(True)), run, "label int, usable boolean, vector array<double>").where("usable").toArrow()
-    vectors = np.array(rows.column("vector").to_pylist(), float).reshape(len(rows), -1 if len(rows) else 0)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), usable, pa.array([v for _, v in both], pa.list_(pa.float64()))], names=["doc_id", "usable", "vector"])
+
+    own = stored(labelled_ids(labels, "quality", F.lit(True)), "labelled")
+    few = own.count() * FIXED_WIDTH * len(own.columns) <= BROADCAST_BYTES
+    texts = docs.select("doc_id", "text")
+    seen = texts.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi") if few else texts
+    found = arrow_map(seen, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, usable boolean, vector array<double>").where("usable")
+    rows = found.groupBy("doc_id").agg(F.min("vector").alias("vector")).join(own, "doc_id").select(F.col("label").cast("int").alias("label"), "vector").toArrow()
+    vectors = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(len(rows), -1 if len(rows) else 0)
     order = np.lexsort(vectors.T) if len(rows) else np.array([], int)  # the fit doesn't depend on the order of the rows
-    return QualityModel(vectors[order], np.array(rows.column("label").to_pylist(), int)[order], clean_loss)
+    return QualityModel(vectors[order], rows.column("label").to_numpy()[order], clean_loss)
 
 
 def score_table(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -129,3 +129,15 @@ def test_long_text_in_parts(monkeypatch):
     whole = language_ecoc.features(text)
     monkeypatch.setattr(language_ecoc, "PART", 700)
     assert np.abs(language_ecoc.features(text) - whole).max() < 0.02
+
+
+def test_quality_is_fitted_on_every_labelled_document(spark, monkeypatch):
+    """At most 3,000 documents of a label were fitted on before."""
+    text = "some words of a plain text " * 2 + " ".join(f"n{k} m{k} o{k}" for k in range(40))
+    docs, labels = labelled(spark, [f"{text} {k}" for k in range(3100)], [f"{text} # # {k}" for k in range(50)])
+    seen = []
+    monkeypatch.setattr(quality_rules, "QualityModel", lambda vectors, own, loss: seen.append((vectors.shape, np.bincount(own).tolist())))
+    quality_rules.fit(docs, labels)
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", 0)
+    quality_rules.fit(docs, labels)
+    assert seen == [((3150, 10), [50, 3100])] * 2
